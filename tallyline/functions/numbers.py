@@ -4,9 +4,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What counts as a number in text: plain decimal notation with optional
-# exponent, blanks round it allowed. Spark's own cast is wider (5d, 0x1p3).
-PLAIN_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-INFINITY_TEXT = r"(?i)^\s*[+-]?inf(inity)?\s*$"
+# exponent, or an infinity, blanks round it allowed. Spark's own cast is wider
+# (5d, 0x1p3).
+NUMBER_TEXT = r"(?i)^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf(?:inity)?)\s*$"
 
 
 def _or_zero(c: Column) -> Column:
@@ -14,14 +14,10 @@ def _or_zero(c: Column) -> Column:
 
 
 def as_number(text: Column) -> Column:
-    """Double of a number text; NULL if it is none."""
-    value = F.when(text.rlike(PLAIN_NUMBER), F.trim(text).try_cast("double"))
-    finite = F.when(F.abs(value) != float("inf"), value)
-    infinite = F.when(
-        text.rlike(INFINITY_TEXT),
-        F.when(F.trim(text).startswith("-"), float("-inf")).otherwise(float("inf")),
-    )
-    return F.coalesce(finite, infinite)
+    """Double of a number text; NULL if it is none or too large for a double."""
+    value = text.try_cast("double")
+    overflow = (F.abs(value) == float("inf")) & ~F.lower(text).contains("inf")
+    return F.when(text.rlike(NUMBER_TEXT) & ~overflow, value)
 
 
 def clean_number(text: Column) -> Column:
