@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions import round2, total
+from tallyline.session import BROADCAST_ROWS
 
 
 def customer_totals(tx: DataFrame) -> DataFrame:
@@ -48,11 +49,14 @@ def customer_ranking(totals: DataFrame, by: str = "profit", ascending: bool = Fa
     return _rounded(_ranked(totals, by, ascending, k))
 
 
+def _at_most(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def _in_both(totals: DataFrame, ascending: bool, k: int) -> DataFrame:
     by_profit = _ranked(totals, "profit", ascending, k)
     by_sales = _ranked(totals, "sales", ascending, k).select("name")
-    # At most k rows on either side.
-    return by_profit.join(F.broadcast(by_sales), "name", "left_semi").select("name")
+    return by_profit.join(_at_most(by_sales, k), "name", "left_semi").select("name")
 
 
 def vip_customers(totals: DataFrame, k: int = 20) -> DataFrame:
@@ -73,7 +77,7 @@ def segment_customers(totals: DataFrame, k: int = 20) -> DataFrame:
     """
     vip = vip_customers(totals, k).withColumn("_vip", F.lit(True))
     critical = critical_customers(totals, k).withColumn("_critical", F.lit(True))
-    marked = totals.join(F.broadcast(vip), "name", "left").join(F.broadcast(critical), "name", "left")
+    marked = totals.join(_at_most(vip, k), "name", "left").join(_at_most(critical, k), "name", "left")
     segment = (
         F.when(F.col("_vip"), "vip").when(F.col("_critical"), "critical").when(F.col("profit") < 0, "loss")
     ).otherwise("regular")

@@ -21,7 +21,7 @@ def find_duplicates(documents: DataFrame, existing: DataFrame, key: str = "order
     if not literal:
         usable = usable.filter("has_uuid")
     ids = usable.select(*IDENTITY, key)
-    firsts = ids.groupBy(key).agg(F.min(F.struct(*IDENTITY)).alias("first"))
+    firsts = shared(ids.groupBy(key).agg(F.min(F.struct(*IDENTITY)).alias("first")))
     # Only stored keys this batch asks for; a small batch is sent to the scan.
     asked = broadcast_if_small(firsts.select(key))
     stored = existing.select(key).join(asked, key, "left_semi").distinct()

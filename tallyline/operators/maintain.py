@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.operators.checks import require_columns
-from tallyline.session import broadcast_if_small
+from tallyline.session import broadcast_if_small, shared
 
 # What a page without annotation shows.
 NO_ANNOTATION = "Sin comentarios estratégicos registrados aún."
@@ -16,9 +16,9 @@ DELETED_DETAILS = "Usuario eliminado permanentemente por el administrador."
 
 
 def id_frame(spark: SparkSession, ids) -> DataFrame:
-    """Distinct ids as a frame, from a list or a frame; none is an error."""
+    """Distinct ids, computed once, from a list or a frame; none is an error."""
     if isinstance(ids, DataFrame):
-        wanted = ids.select("row_id").distinct()
+        wanted = shared(ids.select("row_id").distinct())
         if wanted.isEmpty():
             raise ValueError("no ids given")
         return wanted
