@@ -38,4 +38,6 @@ from tallyline.functions.text import (
     short_label,
 )
 
-__all__ = [name for name in dir() if not name.startswith("_")]
+__all__ = [
+    name for name, value in list(globals().items()) if not name.startswith("_") and (callable(value) or name.isupper())
+]

@@ -69,4 +69,6 @@ from tallyline.operators.products import (
 )
 from tallyline.operators.seasonality import category_performance, monthly_seasonality, shipped, subcategory_ranking
 
-__all__ = [name for name in dir() if not name.startswith("_")]
+__all__ = [
+    name for name, value in list(globals().items()) if not name.startswith("_") and (callable(value) or name.isupper())
+]

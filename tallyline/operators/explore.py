@@ -1,5 +1,6 @@
 """Row explorer: search, column filters, sorting and paging."""
 
+import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -70,6 +71,11 @@ def page(df: DataFrame, number: int = 1, limit: int = DEFAULT_LIMIT) -> DataFram
     return df.offset((number - 1) * limit).limit(limit)
 
 
+def _literal(value, field: T.StructField) -> Column:
+    """A collected value as a literal; dates go as text, past any time zone."""
+    return F.lit(str(value) if isinstance(value, datetime.date) else value).cast(field.dataType)
+
+
 def page_after(df: DataFrame, last_row: dict, by: str, order: str = "desc", limit: int = DEFAULT_LIMIT) -> DataFrame:
     """The page behind ``last_row`` (its sort column and row_id), at any depth.
 
@@ -77,29 +83,93 @@ def page_after(df: DataFrame, last_row: dict, by: str, order: str = "desc", limi
     earlier page is read again.
     """
     key, row_id = F.col(by), F.col("row_id")
-    value = F.lit(last_row[by])
     if last_row[by] is None:
         behind = key.isNull() & (row_id > last_row["row_id"])
     else:
+        value = _literal(last_row[by], df.schema[by])
         further = key > value if order == "asc" else key < value
         behind = further | key.isNull() | ((key == value) & (row_id > last_row["row_id"]))
     return sort_rows(df.filter(behind), by, order).limit(limit)
 
 
+# Slices a sort column is cut into to find a deep page, and the number of rows
+# up to which top-k is the way to skip inside a slice.
+SLICES = 64
+TOP_K_ROWS = 100_000
+
+
+def _slice_of(df: DataFrame, start: int, by: str, order: str, limit: int) -> tuple:
+    """(rows of the value range that holds the page, rows before that range).
+
+    Two narrow passes: quantiles of the sort column, then exact counts between
+    them. A bad quantile makes slices uneven, never wrong.
+    """
+    field = df.schema[by]
+    ranks = [i / SLICES for i in range(1, SLICES)]
+    cuts = df.agg(F.percentile_approx(by, ranks)).first()[0]
+    edges = [_literal(value, field) for value in sorted({c for c in cuts or [] if c == c})]
+    if not edges:
+        return df, 0
+    key = F.col(by)
+    number = reduce(lambda a, b: a + b, [(key > edge).cast("int") for edge in edges])
+    counts = {r["slice"]: r["count"] for r in df.groupBy(number.alias("slice")).count().collect()}
+    slices = range(len(edges) + 1)
+    sequence = [*(slices if order == "asc" else reversed(slices)), None]
+    before, wanted, skipped = 0, [], 0
+    for one in sequence:
+        after = before + counts.get(one, 0)
+        if after <= start:
+            skipped = after
+        elif before < start + limit:
+            wanted.append(one)
+        before = after
+    ranges = []
+    for one in wanted:
+        if one is None:
+            ranges.append(key.isNull())
+        else:
+            low = [key > edges[one - 1]] if one else []
+            high = [key <= edges[one]] if one < len(edges) else []
+            ranges.append(reduce(lambda a, b: a & b, low + high))
+    if not ranges:
+        return df.limit(0), 0
+    return df.filter(reduce(lambda a, b: a | b, ranges)), skipped
+
+
 def deep_page(
-    df: DataFrame, number: int, limit: int = DEFAULT_LIMIT, by: str | None = DEFAULT_SORT, order: str = "desc"
+    df: DataFrame,
+    number: int,
+    limit: int = DEFAULT_LIMIT,
+    by: str | None = DEFAULT_SORT,
+    order: str = "desc",
+    top_k_rows: int = TOP_K_ROWS,
 ) -> DataFrame:
     """A page at any depth without sending all earlier rows through one task.
 
-    The rows are range-sorted and kept; counting them per partition tells which
-    partition holds the page, and only that is read.
+    Counting finds the value range the page lies in, and only its rows are
+    read. If still many of them come before the page (one value may hold a
+    third of all rows, a text column has no quantiles), they are range-sorted
+    and kept; counts per partition then tell where the page is.
     """
-    spark = df.sparkSession
-    ordered = shared(df.orderBy(*_sort_keys(df, by, order)))
+    start = (number - 1) * limit
+    sliceable = by in df.columns and isinstance(
+        df.schema[by].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    )
+    if sliceable and start + limit > top_k_rows:
+        df, skipped = _slice_of(df, start, by, order, limit)
+        start -= skipped
+    keys = _sort_keys(df, by, order)
+    if start + limit <= top_k_rows:
+        return df.orderBy(*keys).offset(start).limit(limit)
+    return _sorted_rows(df, keys, start, limit)
+
+
+def _sorted_rows(df: DataFrame, keys: list, start: int, limit: int) -> DataFrame:
+    ordered = shared(df.orderBy(*keys))
     placed = ordered.withColumn("_at", F.monotonically_increasing_id())
     partition = F.shiftrightunsigned("_at", 33)
     counts = placed.groupBy(partition.alias("part")).count().orderBy("part").collect()
-    start, seen, wanted = (number - 1) * limit, 0, []
+    seen, wanted = 0, []
     for row in counts:  # as many rows as there are partitions
         low, high = max(start - seen, 0), min(start + limit - seen, row["count"])
         if low < high:
@@ -107,7 +177,7 @@ def deep_page(
             wanted.append(F.col("_at").between(first + low, first + high - 1))
         seen += row["count"]
     if not wanted:
-        return spark.createDataFrame([], df.schema)
+        return df.sparkSession.createDataFrame([], df.schema)
     return placed.filter(reduce(lambda a, b: a | b, wanted)).orderBy("_at").drop("_at")
 
 

@@ -58,10 +58,11 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     if not parts:
         return spark.createDataFrame([], columns)
     # One reader over all parts: pruning and pushdown work as on one folder.
-    rows = spark.read.schema(columns).parquet(*parts)
+    rows = spark.read.option("basePath", path).schema(columns).parquet(*parts).drop("part")
     deleted = [f"{path}/{c.part}" for c in commits if c.kind == "deleted"]
     if deleted:
-        rows = rows.join(broadcast_if_small(spark.read.parquet(*deleted)), "row_id", "left_anti")
+        gone = spark.read.schema("row_id long").parquet(*deleted)
+        rows = rows.join(broadcast_if_small(gone), "row_id", "left_anti")
     return rows
 
 
@@ -127,7 +128,7 @@ def append_invoice_lines(df: DataFrame, path: str, part: str | None = None) -> i
     """
     spark = df.sparkSession
     commits = _log(spark, path)
-    if part and any(c.part.startswith(f"{part}-") for c in commits):
+    if part and any(c.part.startswith(f"part={part}-") for c in commits):
         return 0
     batch = shared(df)
     count = batch.count()
@@ -135,7 +136,7 @@ def append_invoice_lines(df: DataFrame, path: str, part: str | None = None) -> i
         return 0
     first = 1 + max((c.last_row_id for c in commits), default=0)
     version = commits[-1].version if commits else 1
-    name = f"{part or 'batch'}-{uuid.uuid4().hex}"
+    name = f"part={part or 'batch'}-{uuid.uuid4().hex}"
     columns = _write_part(number_rows(batch, first), f"{path}/{name}")
     _commit(spark, path, (version, len(commits), "rows", name, count, first + count - 1, columns))
     return count
@@ -147,7 +148,7 @@ def replace_dataset(df: DataFrame, path: str, required: list) -> int:
     spark = df.sparkSession
     commits = _log(spark, path)
     version = 1 + (commits[-1].version if commits else 0)
-    name = f"dataset-{uuid.uuid4().hex}"
+    name = f"part=dataset-{uuid.uuid4().hex}"
     columns = _write_part(df, f"{path}/{name}")
     stored = spark.read.schema(T.StructType.fromJson(json.loads(columns))).parquet(f"{path}/{name}")
     last = max((c.last_row_id for c in commits), default=0)
@@ -169,7 +170,7 @@ def delete_rows(spark: SparkSession, path: str, ids) -> int:
 
     wanted = id_frame(spark, ids)
     commits = _log(spark, path)
-    name = f"deleted-{uuid.uuid4().hex}"
+    name = f"part=deleted-{uuid.uuid4().hex}"
     found = read_table(spark, path).select("row_id").join(broadcast_if_small(wanted), "row_id", "left_semi")
     found.write.parquet(f"{path}/{name}")
     count = spark.read.parquet(f"{path}/{name}").count()

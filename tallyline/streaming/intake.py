@@ -18,11 +18,13 @@ def start_invoice_intake(
 ) -> StreamingQuery:
     """Take in all archives below ``source`` not taken yet, then stop.
 
-    Every batch runs the ordinary intake. Its part is named after the batch, so
-    a batch repeated after a failure is stored once.
+    Every batch runs the ordinary intake. Its part is named after the query (as
+    the checkpoint knows it) and the batch, so a batch repeated after a failure
+    is stored once, and a stream with a new checkpoint is another query.
     """
     archives = (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
         .option("pathGlobFilter", "*.zip")
         .option("maxFilesPerTrigger", files_per_batch)
         .load(source)
@@ -30,7 +32,9 @@ def start_invoice_intake(
     )
 
     def take_in(batch: DataFrame, number: int) -> None:
-        intake_invoices(expand_archives(batch).hint("rebalance"), path, part=f"{name}-{number}", **options)
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        part = f"{name}-{query}-{number}"
+        intake_invoices(expand_archives(batch).hint("rebalance"), path, part=part, **options)
 
     return (
         archives.writeStream.foreachBatch(take_in)

@@ -51,14 +51,15 @@ def test_sort(rows):
         assert names[-1] is None and names[0] is not None
 
 
-@pytest.mark.parametrize("by,order", [("order_date", "desc"), ("sales", "asc"), ("customer_name", "desc")])
+@pytest.mark.parametrize("by,order", [("order_date", "desc"), ("sales", "asc"), ("customer_name", "desc"), ("row_id", "desc")])
 def test_pages_partition_the_rows(rows, by, order):
     everything = ids(tl.sort_rows(rows, by, order))
     pages = [ids(tl.page(tl.sort_rows(rows, by, order), n, 50)) for n in range(1, 8)]
     assert [i for page in pages for i in page] == everything
     assert len(set(everything)) == 311
-    for number in (1, 4, 7, 8):
-        assert ids(tl.deep_page(rows, number, 50, by, order)) == everything[(number - 1) * 50:number * 50]
+    for bound in (100_000, 120, 0):  # top-k only; slices and top-k; slices and sorted partitions
+        for number in (1, 4, 7, 8):
+            assert ids(tl.deep_page(rows, number, 50, by, order, bound)) == everything[(number - 1) * 50:number * 50]
     walked, last = [], None
     while True:
         found = (tl.page(tl.sort_rows(rows, by, order), 1, 50) if last is None

@@ -353,6 +353,10 @@ ORACLES = {
     "deep_page": with_tx(
         f"SELECT {ROWS} FROM (SELECT * FROM tx ORDER BY tx.order_date DESC, {ROW_ORDER} LIMIT 50 OFFSET 5000)"
     ),
+    "deep_page_by_name": with_tx(
+        f"""SELECT {ROWS} FROM (SELECT * FROM tx
+            ORDER BY customer_name, order_id, tx.order_date, country, product_name, sales LIMIT 50 OFFSET 4500)"""
+    ),
     "page_after": """SELECT o_orderkey AS row_id, CAST(o_orderdate AS VARCHAR) AS order_date, o_totalprice
         FROM (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1998-12-31'
           OR (o_orderdate = TIMESTAMP '1998-12-31' AND o_orderkey > 100)

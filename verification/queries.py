@@ -218,7 +218,13 @@ def sorted_page(spark, sf):
 
 
 def deep_page(spark, sf):
-    return tl.deep_page(_documents_tx(spark, sf), 101, 50)
+    """A page found by its value range."""
+    return tl.deep_page(_documents_tx(spark, sf), 101, 50, top_k_rows=1000)
+
+
+def deep_page_by_name(spark, sf):
+    """A page found by sorted partitions: names have no value range."""
+    return tl.deep_page(_documents_tx(spark, sf), 91, 50, by="customer_name", order="asc", top_k_rows=1000)
 
 
 def page_after(spark, sf):
@@ -611,7 +617,7 @@ QUERIES = {
         customer_totals, customer_list, top_profit_customers, top_revenue_customers, bottom_profit_customers,
         bottom_revenue_customers, vip_customers, critical_customers, segment_customers,
         country_totals, shipping_margin, market_leader, market_bubble, bottom_countries, critical_geography,
-        search_any, filter_columns, sorted_page, deep_page, page_after, page_info, page_info_literal,
+        search_any, filter_columns, sorted_page, deep_page, deep_page_by_name, page_after, page_info, page_info_literal,
         explore_rows, explore_counts, audit_export,
         date_functions, event_times, label_functions, number_functions, catalogue_lookups, sanitized_measures,
         csv_round_trip, parse_invoices, parse_invoices_last_line, invoice_json, invoice_archives,
