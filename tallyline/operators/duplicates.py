@@ -32,8 +32,11 @@ def find_duplicates(documents: DataFrame, existing: DataFrame, key: str = "order
 def suppress_duplicates(
     documents: DataFrame, existing: DataFrame, key: str = "order_id", literal: bool = False
 ) -> tuple:
-    """(documents that are new, duplicates). Pass a ``shared`` document frame."""
+    """(documents that are new, duplicates). Pass a ``shared`` document frame;
+    it comes back as it is if there are no duplicates."""
     duplicates = shared(find_duplicates(documents, existing, key, literal))
+    if duplicates.isEmpty():
+        return documents, duplicates
     return documents.join(broadcast_if_small(duplicates), IDENTITY, "left_anti"), duplicates
 
 

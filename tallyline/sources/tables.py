@@ -85,11 +85,12 @@ def read_jdbc_lines(spark: SparkSession, url: str, table: str, bounds: tuple, pa
     )
 
 
-def number_rows(df: DataFrame, start: int, name: str = "row_id") -> DataFrame:
-    """Consecutive ids from ``start``, without bringing rows into one task.
+def number_rows(df: DataFrame, start: int, name: str = "row_id") -> tuple:
+    """(rows with consecutive ids from ``start``, how many), no row in one task.
 
-    ``df`` must give the same partitions each time (a ``shared`` frame): rows
-    are counted per partition first, then each partition numbers its own.
+    ``df`` must give the same partitions each time: a ``shared`` frame, or one
+    made from it without a shuffle. Rows are counted per partition first, then
+    each partition numbers its own.
     """
     spark = df.sparkSession
     placed = df.withColumn("_at", F.monotonically_increasing_id())
@@ -101,11 +102,12 @@ def number_rows(df: DataFrame, start: int, name: str = "row_id") -> DataFrame:
         following += row["count"]
     offsets = spark.createDataFrame(offsets, "_part long, _start long")
     within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return (
+    numbered = (
         placed.withColumn("_part", partition)
         .join(F.broadcast(offsets), "_part")
         .select((F.col("_start") + within).alias(name), *df.columns)
     )
+    return numbered, following - start
 
 
 def _write_part(df: DataFrame, path: str) -> str:
@@ -120,24 +122,24 @@ def _write_part(df: DataFrame, path: str) -> str:
     return df.schema.json()
 
 
-def append_invoice_lines(df: DataFrame, path: str, part: str | None = None) -> int:
+def append_invoice_lines(df: DataFrame, path: str, part: str | None = None, stable: bool = False) -> int:
     """Add lines as one batch and number them; returns how many were added.
 
     A batch that names its ``part`` is stored once: repeating it (as a stream
-    does after a failure) adds nothing.
+    does after a failure) adds nothing. ``stable`` tells that ``df`` meets the
+    terms of ``number_rows``; any other frame is kept first.
     """
     spark = df.sparkSession
     commits = _log(spark, path)
     if part and any(c.part.startswith(f"part={part}-") for c in commits):
         return 0
-    batch = shared(df)
-    count = batch.count()
+    first = 1 + max((c.last_row_id for c in commits), default=0)
+    numbered, count = number_rows(df if stable else shared(df), first)
     if count == 0:
         return 0
-    first = 1 + max((c.last_row_id for c in commits), default=0)
     version = commits[-1].version if commits else 1
     name = f"part={part or 'batch'}-{uuid.uuid4().hex}"
-    columns = _write_part(number_rows(batch, first), f"{path}/{name}")
+    columns = _write_part(numbered, f"{path}/{name}")
     _commit(spark, path, (version, len(commits), "rows", name, count, first + count - 1, columns))
     return count
 

@@ -598,7 +598,7 @@ def record_count(spark, sf):
 
 def numbered_rows(spark, sf):
     """Row ids without gaps, whatever the partitions."""
-    rows = number_rows(tl.shared(table(spark, sf, "lineitem").select("l_orderkey")), 1)
+    rows, _ = number_rows(tl.shared(table(spark, sf, "lineitem").select("l_orderkey")), 1)
     return rows.agg(
         F.count("*").alias("rows"),
         F.count_distinct("row_id").alias("ids"),
