@@ -34,6 +34,9 @@ from tallyline.operators.customers import (
     vip_customers,
 )
 from tallyline.operators.discounts import (
+    band_leak,
+    band_report,
+    band_totals,
     discount_band_leak,
     discount_band_loss,
     discount_band_profit,

@@ -6,11 +6,15 @@ from pyspark.sql import functions as F
 from tallyline.functions import BAND_EDGES, BAND_LABELS, discount_band_ordinal, round2, total, usd_text
 
 
-def _band_totals(tx: DataFrame, measures, edges, labels, compat) -> DataFrame:
+def band_totals(
+    tx: DataFrame, measures=("loss", "profit"), edges=BAND_EDGES, labels=BAND_LABELS, compat: str | None = None
+) -> DataFrame:
     """(band_ord, band, one total per measure); a band without rows has 0.
 
     One conditional sum per band and measure in a single global aggregate: each
-    task sends one row, nothing is shuffled by band, and empty bands need no join.
+    task sends one row, nothing is shuffled by band, and empty bands need no
+    join. ``compat="float32"`` bins the rate in single precision, where a rate
+    equal to an edge may fall into the next band.
     """
     if compat not in (None, "float32"):
         raise ValueError(f"compat must be None or 'float32', not {compat!r}")
@@ -36,16 +40,9 @@ def _band_totals(tx: DataFrame, measures, edges, labels, compat) -> DataFrame:
     return sums.select(F.inline(F.array(*rows)))
 
 
-def discount_bands(
-    tx: DataFrame, measure: str = "profit", edges=BAND_EDGES, labels=BAND_LABELS, compat: str | None = None
-) -> DataFrame:
-    """Total of ``measure`` by discount band, all bands, two decimals.
-
-    ``compat="float32"`` bins the rate in single precision, where a rate equal
-    to an edge may fall into the next band.
-    """
-    totals = _band_totals(tx, [measure], edges, labels, compat)
-    return totals.withColumn(measure, round2(F.col(measure)))
+def discount_bands(tx: DataFrame, measure: str = "profit", **options) -> DataFrame:
+    """Total of ``measure`` by discount band, all bands, two decimals."""
+    return band_report(band_totals(tx, [measure], **options), measure)
 
 
 def discount_band_loss(tx: DataFrame, **options) -> DataFrame:
@@ -56,10 +53,15 @@ def discount_band_profit(tx: DataFrame, **options) -> DataFrame:
     return discount_bands(tx, "profit", **options)
 
 
-def discount_band_leak(
-    tx: DataFrame, measure: str = "profit", edges=BAND_EDGES, labels=BAND_LABELS, compat: str | None = None
-) -> DataFrame:
+def discount_band_leak(tx: DataFrame, measure: str = "profit", **options) -> DataFrame:
     """Sum of the negative band totals, as number and as text."""
-    totals = _band_totals(tx, [measure], edges, labels, compat)
+    return band_leak(band_totals(tx, [measure], **options), measure)
+
+
+def band_report(totals: DataFrame, measure: str) -> DataFrame:
+    return totals.select("band_ord", "band", round2(F.col(measure)).alias(measure))
+
+
+def band_leak(totals: DataFrame, measure: str) -> DataFrame:
     leak = totals.agg(total(F.when(F.col(measure) < 0, F.col(measure))).alias("total"))
     return leak.select("total", usd_text(F.col("total")).alias("total_formatted"))

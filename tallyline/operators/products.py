@@ -1,4 +1,5 @@
-"""Product rankings."""
+"""Product rankings. The rankings by product work on the frame ``product_totals``
+or ``product_discounts`` gives; compute it once and pass it on."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +44,9 @@ def top_shipping(tx: DataFrame, k: int = 300) -> DataFrame:
     return rows.orderBy(F.desc("shipping_cost"), "full_name", "order_id", "profit").limit(k)
 
 
-def top_losses(tx: DataFrame, k: int = 20) -> DataFrame:
+def top_losses(totals: DataFrame, k: int = 20) -> DataFrame:
     """Products with the most negative profit."""
-    ranked = losses_only(product_totals(tx)).orderBy("profit", "product_name").limit(k)
+    ranked = losses_only(totals).orderBy("profit", "product_name").limit(k)
     return ranked.select(
         short_label(F.col("product_name")).alias("name"),
         F.col("product_name").alias("full_name"),
@@ -54,17 +55,17 @@ def top_losses(tx: DataFrame, k: int = 20) -> DataFrame:
     )
 
 
-def bottom_products(tx: DataFrame, k: int = 20) -> DataFrame:
+def bottom_products(totals: DataFrame, k: int = 20) -> DataFrame:
     """Products with the lowest sales."""
-    ranked = product_totals(tx).orderBy("sales", "product_name").limit(k)
+    ranked = totals.orderBy("sales", "product_name").limit(k)
     return ranked.select(
         short_label(F.col("product_name")).alias("name"), F.col("product_name").alias("full_name"), "sales"
     )
 
 
-def top_discounts(tx: DataFrame, k: int = 25) -> DataFrame:
+def top_discounts(totals: DataFrame, k: int = 25) -> DataFrame:
     """Products with the largest discount volume."""
-    ranked = product_discounts(tx).orderBy(F.desc("discount_value"), "product_name").limit(k)
+    ranked = totals.orderBy(F.desc("discount_value"), "product_name").limit(k)
     return ranked.select(
         short_label(F.col("product_name"), 25).alias("name"),
         F.col("product_name").alias("full_name"),

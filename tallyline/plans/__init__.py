@@ -1,9 +1,10 @@
 from tallyline.plans.intake import intake_invoices
-from tallyline.plans.load import load_transactions, store_transactions
+from tallyline.plans.load import load_transactions, store_transactions, upload_csv
 from tallyline.plans.reports import (
     charts,
     countries_analysis,
     customers_analysis,
+    dashboard,
     discount_impact,
     products_analysis,
 )

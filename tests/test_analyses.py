@@ -98,7 +98,7 @@ def test_seasonality_needs_ship_dates_and_floors_lead_time(frame):
 
 def test_discount_volume_is_the_absolute_sum(frame):
     tx = frame(row(loss=-5.0), row(loss=3.0), row(product="Mesa", loss=-1.0))
-    found = [(r.full_name, r.discount_value) for r in tl.top_discounts(tx).collect()]
+    found = [(r.full_name, r.discount_value) for r in tl.top_discounts(tl.product_discounts(tx)).collect()]
     assert found == [("Silla", 2.0), ("Mesa", 1.0)]
 
 
@@ -185,3 +185,19 @@ def test_year_slice_by_given_year(frame):
     assert tl.year_slice(tx, offset=1).count() == 2
     assert tl.year_slice(tx, year=2023).count() == 2
     assert tl.year_slice(tx, years=2).count() == 3
+
+
+def test_dashboard_has_every_list_with_its_fields(frame):
+    found = tl.dashboard(frame(row(), row(order="B", customer="Eva", country="Jalisco", profit=-3.0, rate=0.3)))
+    assert set(found) == {
+        "kpis", "sales_over_time", "category_data", "subcategories", "shipping", "top_losses", "bottom_20",
+        "top_discounts", "discount_margin_impact", "total_loss", "discount_margin_netimpact", "total_net_loss",
+        "topProfitable", "topRevenue", "bottomProfitable", "bottomRevenue", "segmentation", "outlier", "bubble_data",
+        "shipping_relation", "bottom_countries", "critical_geo",
+    }
+    assert as_dicts(found["sales_over_time"]) == [{"date": "Mar", "Sales": 20.0, "Days_to_Ship": 2.0}]
+    assert as_dicts(found["total_net_loss"]) == [{"total_net_loss_formatted": "$-3 USD"}]
+    assert [r.group for r in found["discount_margin_impact"].collect()][-1] == "Más de 20%"
+    assert as_dicts(found["outlier"])[0]["country"] == "Jalisco"
+    assert found["topRevenue"].columns == ["name", "sales", "profit", "orders"]
+    assert found["shipping"].columns == ["name", "fullName", "shipping_cost", "profit", "order_id"]

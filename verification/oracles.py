@@ -291,6 +291,12 @@ ORACLES = {
     "discount_band_profit_float32": bands("profit", "CAST(CAST(discount_rate AS FLOAT) AS DOUBLE)"),
     "discount_band_leak_loss": leak("loss"),
     "discount_band_leak_profit": leak("profit"),
+    "discount_impact": with_tx(
+        f"""SELECT CAST(band_ord AS BIGINT) AS band_ord, band, {two('coalesce(l, 0)')} AS loss,
+            {two('coalesce(p, 0)')} AS profit FROM t""",
+        f"""{BAND_ROWS}, t AS (SELECT band_ord, band, sum(loss) AS l, sum(profit) AS p
+            FROM b LEFT JOIN tx ON wide_rate > lo AND wide_rate <= hi GROUP BY band_ord, band)""",
+    ),
     "discount_bands_by_row": with_tx(
         "SELECT band, count(*) AS lines FROM tx LEFT JOIN b ON wide_rate > lo AND wide_rate <= hi GROUP BY band",
         BAND_ROWS,
@@ -419,6 +425,11 @@ ORACLES = {
             CASE WHEN quantity = 25 THEN 0 ELSE {r4('shipping_cost')} END AS shipping_cost,
             quantity >= 10 AND profit < 0 AS is_loss FROM tx"""
     ),
+    "narrow_measures": with_tx(
+        f"""SELECT order_id, {r4('CAST(CAST(sales AS FLOAT) AS DOUBLE)')} AS sales,
+            {r4('CAST(CAST(profit AS FLOAT) AS DOUBLE)')} AS profit,
+            {r4('CAST(CAST(discount_rate AS FLOAT) AS DOUBLE)')} AS discount_rate FROM tx"""
+    ),
     "csv_round_trip": with_tx(
         f"""SELECT order_id, CAST(order_date AS VARCHAR) AS order_date,
             CASE WHEN quantity = 14 THEN NULL ELSE CAST(ship_date AS VARCHAR) END AS ship_date,

@@ -74,15 +74,15 @@ def top_shipping(spark, sf):
 
 
 def top_losses(spark, sf):
-    return tl.top_losses(transactions(spark, sf, "product_name", "sales", "profit"))
+    return tl.top_losses(product_totals(spark, sf))
 
 
 def bottom_products(spark, sf):
-    return tl.bottom_products(transactions(spark, sf, "product_name", "sales", "profit"))
+    return tl.bottom_products(product_totals(spark, sf))
 
 
 def top_discounts(spark, sf):
-    return tl.top_discounts(transactions(spark, sf, "product_name", "sales", "profit", "loss"))
+    return tl.top_discounts(product_discounts(spark, sf))
 
 
 # --- discount bands -------------------------------------------------------------
@@ -116,6 +116,13 @@ def discount_band_leak_profit(spark, sf):
     return tl.discount_band_leak(_rates(spark, sf, "profit"), "profit")
 
 
+def discount_impact(spark, sf):
+    """Both measures by band, from one pass."""
+    tx = transactions(spark, sf, "discount_rate", "loss", "profit", wide_rate=True)
+    impact = tl.discount_impact(tx)
+    return impact["loss"].join(impact["profit"].drop("band"), "band_ord")
+
+
 def discount_bands_by_row(spark, sf):
     rates = transactions(spark, sf, "discount_rate", wide_rate=True)
     band = tl.discount_band(F.col("discount_rate"))
@@ -340,6 +347,12 @@ def sanitized_measures(spark, sf):
     return tl.with_loss_flag(tl.sanitize_measures(broken))
 
 
+def narrow_measures(spark, sf):
+    """Single-precision measures, shown as the doubles they stand for."""
+    tx = tl.narrow_measures(transactions(spark, sf, "order_id", "sales", "profit", "discount_rate"))
+    return tx.select("order_id", *[F.col(c).cast("double").alias(c) for c in ("sales", "profit", "discount_rate")])
+
+
 # --- ingest ---------------------------------------------------------------------------
 
 
@@ -613,13 +626,13 @@ QUERIES = {
         kpis, monthly_seasonality, category_performance, subcategory_ranking, previous_year_rows,
         product_totals, product_discounts, top_shipping, top_losses, bottom_products, top_discounts,
         discount_band_loss, discount_band_profit, discount_band_profit_empty_bands, discount_band_profit_float32,
-        discount_band_leak_loss, discount_band_leak_profit, discount_bands_by_row,
+        discount_band_leak_loss, discount_band_leak_profit, discount_impact, discount_bands_by_row,
         customer_totals, customer_list, top_profit_customers, top_revenue_customers, bottom_profit_customers,
         bottom_revenue_customers, vip_customers, critical_customers, segment_customers,
         country_totals, shipping_margin, market_leader, market_bubble, bottom_countries, critical_geography,
         search_any, filter_columns, sorted_page, deep_page, deep_page_by_name, page_after, page_info, page_info_literal,
         explore_rows, explore_counts, audit_export,
-        date_functions, event_times, label_functions, number_functions, catalogue_lookups, sanitized_measures,
+        date_functions, event_times, label_functions, number_functions, catalogue_lookups, sanitized_measures, narrow_measures,
         csv_round_trip, parse_invoices, parse_invoices_last_line, invoice_json, invoice_archives,
         canonical_invoices, consolidated_sources, suppress_duplicates, ingest_report, invoice_intake,
         delete_by_ids, deleted_count, stored_delete, replace_dataset, upsert_annotations, latest_annotation,
