@@ -56,6 +56,7 @@ from tallyline.operators.explore import (
 from tallyline.operators.export import audit_export, write_export
 from tallyline.operators.kpis import kpis
 from tallyline.operators.maintain import (
+    append_change_log,
     delete_by_ids,
     latest_annotation,
     newest_first,

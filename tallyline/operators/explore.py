@@ -205,7 +205,14 @@ def explore(
 ) -> tuple:
     """(rows of the page, counts) for one explorer request.
 
-    Both are lazy; who needs only the rows pays only for them.
+    Both are lazy; who needs only the rows pays only for them. Infinite
+    numbers, which records cannot hold, are shown as 0.
     """
     found = filter_columns(search_any(tx, search), filters or {})
-    return page(sort_rows(found, sort_by, sort_order), number, limit), page_info(found, limit)
+    rows = page(sort_rows(found, sort_by, sort_order), number, limit)
+    shown = {
+        f.name: F.when(F.abs(F.col(f.name)) == float("inf"), 0.0).otherwise(F.col(f.name))
+        for f in tx.schema.fields
+        if isinstance(f.dataType, T.DoubleType)
+    }
+    return rows.withColumns(shown), page_info(found, limit)

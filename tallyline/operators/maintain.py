@@ -109,3 +109,19 @@ def snapshot_changes(
         F.when(gone, DELETED).otherwise(CHANGED).alias("action"),
         F.when(gone, DELETED_DETAILS).otherwise(details).alias("details"),
     )
+
+
+def append_change_log(
+    changes: DataFrame, path: str, admin_id: str, admin_name: str, key: str = "id", email: str = "email"
+) -> None:
+    """Add changes to the log, which is only ever appended to."""
+    entries = changes.select(
+        F.lit(admin_id).alias("admin_id"),
+        F.lit(admin_name).alias("admin_name"),
+        F.col(key).cast("string").alias("target_user_id"),
+        F.col(email).cast("string").alias("target_user_email"),
+        "action",
+        "details",
+        F.current_timestamp().alias("timestamp"),
+    )
+    entries.write.mode("append").parquet(path)

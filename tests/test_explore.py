@@ -87,6 +87,12 @@ def test_explore(rows):
     assert counts.first().total == wanted.count()
 
 
+def test_explorer_shows_no_infinities(spark):
+    df = spark.createDataFrame([(1, float("inf")), (2, None), (3, 2.0)], "row_id long, sales double")
+    shown, _ = tl.explore(df, sort_by="sales", sort_order="asc")
+    assert [tuple(r) for r in shown.collect()] == [(3, 2.0), (1, 0.0), (2, None)]
+
+
 def test_audit_export(spark):
     schema = (
         "row_id long, order_id string, order_date timestamp_ntz, customer_name string, sales double, profit double, "

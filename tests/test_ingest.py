@@ -336,6 +336,20 @@ def test_snapshot_changes(spark):
     ]
 
 
+def test_change_log_is_appended(spark, tmp_path):
+    schema = "id int, email string, status string"
+    old = spark.createDataFrame([(1, "a", "pending"), (2, "b", "active")], schema)
+    new = spark.createDataFrame([(1, "a", "active")], schema)
+    changes = tl.snapshot_changes(old, new, "id", {"status": "Status"}, carry=["email"])
+    for _ in range(2):
+        tl.append_change_log(changes, str(tmp_path / "log"), "7", "Ana")
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert log.columns == [
+        "admin_id", "admin_name", "target_user_id", "target_user_email", "action", "details", "timestamp",
+    ]
+    assert log.count() == 4 and log.filter("admin_name = 'Ana' and timestamp is not null").count() == 4
+
+
 def test_newest_first(spark):
     df = spark.createDataFrame([(1, None), (2, dt.datetime(2024, 1, 1)), (3, dt.datetime(2024, 1, 2))], "id int, at timestamp_ntz")
     assert [r.id for r in tl.newest_first(df, "at", "id").collect()] == [3, 2, 1]
