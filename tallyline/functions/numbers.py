@@ -22,7 +22,7 @@ def as_number(text: Column) -> Column:
 
 def clean_number(text: Column) -> Column:
     """Measure text to double: commas dropped, a lone "-" and any junk are 0."""
-    return _or_zero(as_number(F.regexp_replace(text, ",", "")))
+    return _or_zero(as_number(F.replace(text, F.lit(","), F.lit(""))))
 
 
 def clean_rate(text: Column, rate_unit: str = "percent") -> Column:
@@ -33,7 +33,7 @@ def clean_rate(text: Column, rate_unit: str = "percent") -> Column:
     """
     if rate_unit not in ("percent", "fraction"):
         raise ValueError(f"rate_unit must be 'percent' or 'fraction', not {rate_unit!r}")
-    value = _or_zero(as_number(F.regexp_replace(text, "[% ]", "")))
+    value = _or_zero(as_number(F.translate(text, "% ", "")))
     if rate_unit == "percent":
         return value / 100
     return F.when(text.contains("%"), value / 100).otherwise(value)

@@ -61,4 +61,6 @@ def _scan(spark: SparkSession, paths: list, multi_line: bool) -> DataFrame:
 
 def _missing_to_null(name: str):
     cell = F.col(f"`{name}`")
-    return F.when(~cell.isin(MISSING_TEXTS), cell)
+    # The byte length is at hand; most cells need no look into the list.
+    longest = max(len(text) for text in MISSING_TEXTS)
+    return F.when((F.octet_length(cell) > longest) | ~cell.isin(MISSING_TEXTS), cell)
