@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyline.operators.checks import require_columns
+from tallyline.operators.maintain import id_frame
+from tallyline.schema import INVOICE_LINES
 from tallyline.session import broadcast_if_small, shared
 
 LOG_SCHEMA = "version long, seq long, kind string, part string, rows long, last_row_id long, columns string"
@@ -68,8 +70,6 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 def read_invoice_lines(spark: SparkSession, path: str) -> DataFrame:
     """Stored invoice lines with their ids; empty before the first intake."""
-    from tallyline.schema import INVOICE_LINES
-
     return read_table(spark, path, T.StructType([T.StructField("row_id", T.LongType()), *INVOICE_LINES.fields]))
 
 
@@ -115,7 +115,8 @@ def _write_part(df: DataFrame, path: str) -> str:
     Gives the columns as JSON."""
     if "order_date" in df.columns:
         df = df.withColumn("order_year", F.year("order_date"))
-        spread = df.hint("rebalance", "order_year").sortWithinPartitions("order_date")
+        # Year first, as the writer wants it; then dates, for row-group statistics.
+        spread = df.hint("rebalance", "order_year").sortWithinPartitions("order_year", "order_date")
         spread.write.partitionBy("order_year").parquet(path)
     else:
         df.write.parquet(path)
@@ -168,8 +169,6 @@ def delete_rows(spark: SparkSession, path: str, ids) -> int:
     Only the ids are written. Rewriting files waits for the next
     ``replace_dataset(read_table(...))``.
     """
-    from tallyline.operators.maintain import id_frame
-
     wanted = id_frame(spark, ids)
     commits = _log(spark, path)
     name = f"part=deleted-{uuid.uuid4().hex}"

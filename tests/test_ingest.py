@@ -304,6 +304,20 @@ def test_stored_table(spark, tmp_path):
     assert tl.read_table(spark, path).count() == 0 and "row_id" in tl.read_table(spark, path).columns
 
 
+def test_stored_files_are_sorted_by_date(spark, tmp_path):
+    days = spark.range(5000).select(
+        (F.lit("2023-06-01").cast("date") + (F.col("id") * 7919 % 400).cast("int")).cast("timestamp_ntz").alias("order_date")
+    )
+    tl.replace_dataset(days.repartition(4), str(tmp_path / "t"), [])
+    stored = tl.read_table(spark, str(tmp_path / "t"))
+    placed = stored.select("*", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    files = {}
+    for r in placed.orderBy("at").collect():
+        files.setdefault(r.file, []).append(r.order_date)
+    assert sum(len(dates) for dates in files.values()) == 5000
+    assert all(dates == sorted(dates) for dates in files.values())
+
+
 def test_delete_by_ids(spark):
     kept, found = tl.delete_by_ids(spark.range(5).withColumnRenamed("id", "row_id"), [1, 4, 7])
     assert [r.row_id for r in kept.collect()] == [0, 2, 3] and found.first().deleted_count == 2
