@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm.exact_dedup import exact_groups
+from tallyline.llm.near_dedup import near_groups
 from tallyline.llm.pii import KINDS, find_pii
 from tallyline.llm.quality_classifier import STATISTICS, document_statistics, fit, score
 from tallyline.llm.quality_rules import FULL_POLICY, apply_policy, ledger
@@ -22,6 +23,14 @@ def _remainder(divisor: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three words in a row, linked from 85 in 100."""
+    found = near_groups(_table(spark, sf_dir, "documents"), width=3, percent=85)
+    return found.select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -92,6 +101,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_near_dedup": op4_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_pii": op7_pii,
     "op8_secrets": op8_secrets,
