@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyline.llm.exact_dedup import exact_groups
 from tallyline.llm.near_dedup import near_groups
+from tallyline.llm.packing import byte_bpe, pack, pieces
 from tallyline.llm.pii import KINDS, find_pii
 from tallyline.llm.quality_classifier import STATISTICS, document_statistics, fit, score
 from tallyline.llm.quality_rules import FULL_POLICY, apply_policy, ledger
@@ -23,6 +24,18 @@ def _remainder(divisor: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
 
 
+def tokenizer(path: str | None = None):
+    """Loader of the public byte-level vocabulary; by default the installed file."""
+    import public_tokenizers
+
+    return byte_bpe(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(pieces(_table(spark, sf_dir, "documents"), tokenizer()))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three words in a row, linked from 85 in 100."""
     found = near_groups(_table(spark, sf_dir, "documents"), width=3, percent=85)
@@ -101,6 +114,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_near_dedup": op4_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_pii": op7_pii,
