@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm.exact_dedup import exact_groups
+from tallyline.llm.mixing import mix
 from tallyline.llm.near_dedup import near_groups
 from tallyline.llm.packing import byte_bpe, pack, pieces
 from tallyline.llm.pii import KINDS, find_pii
@@ -44,6 +45,22 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Target weights of the query: by domain, and by language in one domain.
+MIX_WEIGHTS = {("d0",): 3, ("d1",): 2, ("d2",): 1, ("d0", "en"): 1, ("d0", "fr"): 2}
+MIX_BUDGET, MIX_EPOCHS, MIX_SEED = 1.5, 4, 7
+
+
+def domain() -> Column:
+    """The test tables have no domain: three are made of the source's number."""
+    return F.concat(F.lit("d"), (F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int") % 3).cast("string"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = {"domain": domain(), "lang": F.col("lang"), "source": F.col("source")}
+    found = mix(_table(spark, sf_dir, "documents"), levels, MIX_BUDGET, MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED)
+    return found.drop("text_md5")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -116,6 +133,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_near_dedup": op4_near_dedup,
+    "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_pii": op7_pii,
     "op8_secrets": op8_secrets,
@@ -123,7 +141,66 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
+
+
+def _level_sql(levels: list[str], weights: dict[tuple[str, ...], int]) -> str:
+    """SQL steps that share each parent's budget among its children; they read n0, n1, ... and make b1, b2, ..."""
+    depth, here, parents = len(levels), ", ".join(levels), ", ".join(levels[:-1])
+    cases = "".join(
+        "when " + " and ".join(f"{c} = '{v}'" for c, v in zip(levels, path)) + f" then {w} "
+        for path, w in weights.items() if len(path) == depth
+    )
+    family = f"partition by {parents}" if parents else ""
+    given = f"join b{depth - 1} using ({parents})" if parents else "cross join b0"
+    return f"""
+        w{depth} as (
+            select {here}, sum(capacity)::hugeint as capacity, any_value(budget) as given,
+                   {"case " + cases + "else 1 end" if cases else "1"} as w
+            from leaves {given} group by {here}
+        ),
+        f{depth} as (
+            select *, capacity * sum(w) over (o rows between current row and unbounded following)
+                      <= (given - coalesce(sum(capacity) over (o rows between unbounded preceding and 1 preceding), 0)) * w as whole
+            from w{depth} window o as ({family} order by capacity::double / w, {levels[-1]})
+        ),
+        b{depth} as (
+            select {here}, case when whole then capacity else
+                       ((given - sum(case when whole then capacity else 0 end) over ({family})) * w)
+                       // sum(case when whole then 0 else w end) over ({family}) end::hugeint as budget
+            from f{depth}
+        )"""
+
+
+_MIX_SQL = f"""
+    with docs as (
+        select doc_id, coalesce('d' || (try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 3), '') as domain,
+               coalesce(lang, '') as lang, coalesce(source, '') as source, md5(coalesce(text, '')) as text_md5,
+               len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as n_tokens
+        from documents
+    ),
+    totals as (select domain, lang, source, sum(n_tokens) as total from docs group by all),
+    leaves as (select *, total * {MIX_EPOCHS} as capacity from totals),
+    b0 as (select least(sum(capacity), floor({MIX_BUDGET} * sum(total)))::hugeint as budget from leaves),
+    {_level_sql(["domain"], MIX_WEIGHTS)}, {_level_sql(["domain", "lang"], MIX_WEIGHTS)},
+    {_level_sql(["domain", "lang", "source"], MIX_WEIGHTS)},
+    plan as (
+        select domain, lang, source, budget::bigint as leaf_budget,
+               case when total > 0 then (budget // total)::bigint else 0 end as epochs,
+               case when total > 0 then (budget % total)::bigint else 0 end as rest
+        from totals join b3 using (domain, lang, source)
+    ),
+    placed as (
+        select *, md5('{MIX_SEED}|' || (epochs + 1) || '|' || coalesce(doc_id::varchar, '') || '|' || text_md5) as place
+        from docs join plan using (domain, lang, source)
+    )
+    select doc_id, domain, lang, source, n_tokens, leaf_budget, epochs,
+           greatest(0, least(n_tokens, rest - coalesce(sum(n_tokens) over (
+               partition by domain, lang, source order by place rows between unbounded preceding and 1 preceding), 0)))::bigint as last_tokens
+    from placed
+"""
+
 ORACLES = {
+    "op5_mixing": _MIX_SQL,
     "op6_exact_dedup": """
         with t as (select doc_id, coalesce(text, '') as text from documents)
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
