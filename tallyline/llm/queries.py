@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm.exact_dedup import exact_groups
+from tallyline.llm.line_dedup import drop_repeated_lines
 from tallyline.llm.mixing import mix
 from tallyline.llm.near_dedup import near_groups
 from tallyline.llm.packing import byte_bpe, pack, pieces
@@ -32,6 +33,11 @@ def tokenizer(path: str | None = None):
     return byte_bpe(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts without repeated lines."""
+    return drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(pieces(_table(spark, sf_dir, "documents"), tokenizer()))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -131,6 +137,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_near_dedup": op4_near_dedup,
     "op5_mixing": op5_mixing,
