@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyline.llm.exact_dedup import exact_groups
 from tallyline.llm.line_dedup import drop_repeated_lines
+from tallyline.llm.lm_scoring import score_texts
 from tallyline.llm.mixing import mix
 from tallyline.llm.near_dedup import near_groups
 from tallyline.llm.packing import byte_bpe, pack, pieces
@@ -33,6 +34,14 @@ def tokenizer(path: str | None = None):
     return byte_bpe(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(_table(spark, sf_dir, "documents"), _remainder(10) != 0)
+    return scored.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes",
+        (-F.col("score") / F.log10(F.lit(2.0)) / F.nullif("n_bytes", F.lit(0))).alias("bits_per_byte"),
+    )
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts without repeated lines."""
     return drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -137,6 +146,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_line_dedup": op2_line_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_near_dedup": op4_near_dedup,
