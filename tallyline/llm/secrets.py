@@ -73,8 +73,8 @@ def _looks_random(word: str) -> bool:
 
 
 def _near(starts: list[int], ends: list[int], low: int, high: int) -> bool:
-    """Whether a part (in order, none within another) meets [low, high]."""
-    return bisect_right(starts, high) > bisect_left(ends, low)
+    """Whether a part ends after low and begins before high."""
+    return bisect_left(starts, high) > bisect_right(ends, low)
 
 
 def find_linked(text: str, strong: list[Span], reach: int = REACH) -> list[Span]:
