@@ -42,7 +42,7 @@ from tallyline.operators.discounts import (
     discount_band_profit,
     discount_bands,
 )
-from tallyline.operators.duplicates import find_duplicates, ingest_report, suppress_duplicates
+from tallyline.operators.duplicates import document_keys, find_duplicates, ingest_report, suppress_duplicates
 from tallyline.operators.explore import (
     deep_page,
     explore,

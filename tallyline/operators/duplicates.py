@@ -8,6 +8,11 @@ from tallyline.session import broadcast_if_small, shared
 IDENTITY = ["archive", "member_no", "member"]
 
 
+def document_keys(documents: DataFrame) -> DataFrame:
+    """What duplicate check and report need of documents: no JSON, no lines but their number."""
+    return documents.select(*IDENTITY, "order_id", "has_uuid", "problem", F.size("lines").alias("lines"))
+
+
 def find_duplicates(documents: DataFrame, existing: DataFrame, key: str = "order_id", literal: bool = False) -> DataFrame:
     """Documents (archive, member_no, member) whose invoice is stored already
     or comes earlier in the same batch.
@@ -32,8 +37,9 @@ def find_duplicates(documents: DataFrame, existing: DataFrame, key: str = "order
 def suppress_duplicates(
     documents: DataFrame, existing: DataFrame, key: str = "order_id", literal: bool = False
 ) -> tuple:
-    """(documents that are new, duplicates). Pass a ``shared`` document frame;
-    it comes back as it is if there are no duplicates."""
+    """(documents that are new, duplicates). Pass a ``staged`` document frame, of
+    which the check reads only the keys (a ``shared`` one is read whole); it
+    comes back as it is if there are no duplicates."""
     duplicates = shared(find_duplicates(documents, existing, key, literal))
     if duplicates.isEmpty():
         return documents, duplicates
@@ -44,11 +50,12 @@ def ingest_report(documents: DataFrame, duplicates: DataFrame) -> DataFrame:
     """One row: lines to insert, invoices skipped, documents held back."""
     skipped = duplicates.withColumn("_skipped", F.lit(True))
     usable = F.col("problem").isNull()
-    # Counts only; the line arrays and JSON texts stay in the scan.
-    narrow = documents.select(*IDENTITY, "problem", F.size("lines").alias("lines"))
+    # Counts only: of a staged frame neither the JSON texts nor the fields of lines are read.
+    counted = "lines" if dict(documents.dtypes)["lines"] == "int" else F.size("lines").alias("lines")
+    narrow = documents.select(*IDENTITY, "problem", counted)
     outcome = narrow.join(broadcast_if_small(skipped), IDENTITY, "left")
     new = usable & F.col("_skipped").isNull()
-    held = F.col("problem").isin("malformed", "bad number", "bad date")
+    held = F.col("problem").isNotNull() & (F.col("problem") != "no lines")
     return outcome.agg(
         F.coalesce(F.sum(F.when(new, F.col("lines"))), F.lit(0)).cast("long").alias("records_inserted"),
         F.count(F.when(usable & F.col("_skipped"), 1)).alias("invoices_skipped"),

@@ -3,8 +3,9 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def build_session(app_name: str = "tallyline", master: str | None = None, **conf) -> SparkSession:
@@ -56,14 +57,33 @@ def shared(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Compute once into Parquet in the shared folder; readers read the columns they need."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32_000_000
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: texts and arrays by their length."""
+    size = F.lit(16 * len(df.columns))
+    for field in df.schema.fields:
+        cell = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(cell), F.lit(0))
+        elif not isinstance(field.dataType, (T.NumericType, T.BooleanType, T.DatetimeType, T.DayTimeIntervalType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(cell))), F.lit(0))
+    return size
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; larger frames join by shuffle.
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after measuring rows and bytes; larger frames join by shuffle.
 
-    ``df`` should be cheap to read twice (a stored or ``shared`` frame) and
-    narrow (keys), since the bound is on rows.
+    ``df`` should be cheap to read twice: a stored or ``shared`` frame.
     """
-    few = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df
+    found = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(_row_bytes(df)), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if found["n"] <= max_rows and found["size"] <= max_bytes else df

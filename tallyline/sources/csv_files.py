@@ -1,10 +1,16 @@
 """Historical transactions from CSV."""
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyline.schema import UPLOAD_REQUIRED
+
+REQUIRED = UPLOAD_REQUIRED
+HEADER_THREADS = 16
+
 # Cell texts that mean "missing" in the historical files.
 MISSING_TEXTS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -17,32 +23,31 @@ def trim_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[name.strip() for name in df.columns])
 
 
-def read_transactions_csv(spark: SparkSession, path, multi_line: str | bool = "auto") -> DataFrame:
+def read_transactions_csv(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
     """All cells as text, missing texts as NULL; types are resolved later.
 
-    A file with line breaks inside quotes cannot be split between tasks.
-    ``"auto"`` finds the files that have any and reads only those whole; all
-    others are split. ``True`` and ``False`` skip the look.
+    Files are aligned by the names in their own headers; a column that a file
+    lacks is NULL there. ``multi_line=False`` lets a file be split between
+    tasks: right for files without line breaks inside quotes. Files are read
+    once; only their headers are read before.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    if multi_line != "auto":
-        return _scan(spark, paths, bool(multi_line))
-    whole = _files_with_open_quotes(spark, paths)
-    if not whole:
-        return _scan(spark, paths, False)
-    every = spark.read.text(paths).inputFiles()
-    split = sorted(set(every) - set(whole))
-    parts = [_scan(spark, whole, True)] + ([_scan(spark, split, False)] if split else [])
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-
-
-def _files_with_open_quotes(spark: SparkSession, paths: list) -> list:
-    """Files with a line that ends inside quotes: its number of quotes is odd."""
-    lines = spark.read.text(paths)
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    odd = lines.filter(quotes % 2 == 1).select(F.input_file_name().alias("file")).distinct()
-    names = {row.file for row in odd.collect()}  # file names only, as many as the listing holds
-    return sorted(file for file in lines.inputFiles() if file in names)
+    files = spark.read.text(paths).inputFiles()
+    if len(files) < 2:
+        return _scan(spark, paths, multi_line)
+    with ThreadPoolExecutor(HEADER_THREADS) as pool:  # one small job a file: its first line
+        headers = list(pool.map(lambda file: tuple(_scan(spark, [file], multi_line).columns), files))
+    groups = {}
+    for file, header in zip(files, headers):
+        groups.setdefault(header, []).append(file)
+    if len(groups) == 1:
+        return _scan(spark, paths, multi_line)
+    for header, own in groups.items():
+        missing = [name for name in REQUIRED if name not in header and any(name in other for other in groups)]
+        if missing:
+            raise ValueError(f"{own[0]} lacks the columns {missing}, which other files have")
+    parts = [_scan(spark, own, multi_line) for own in groups.values()]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 
 def _scan(spark: SparkSession, paths: list, multi_line: bool) -> DataFrame:
