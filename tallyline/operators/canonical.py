@@ -117,8 +117,9 @@ def losses_only(df: DataFrame, column: str = "profit") -> DataFrame:
 
 
 def last_year(tx: DataFrame) -> DataFrame:
-    """One row: year of the newest order. Reads only folder names where the
-    table is stored by ``order_year``, else only the date column."""
+    """One row: year of the newest order. Reads the date column, or where the
+    table is stored by ``order_year`` no column at all, but opens every file;
+    ``stored_last_year`` tells it from a stored table's log."""
     if "order_year" in tx.columns:
         return tx.agg(F.max("order_year").cast("int").alias("last_year"))
     return tx.agg(F.year(F.max("order_date")).alias("last_year"))

@@ -49,15 +49,20 @@ def filter_columns(df: DataFrame, patterns: dict) -> DataFrame:
     return df
 
 
+def _tie_names(df: DataFrame, by: str | None) -> list:
+    """The columns behind the sort column: the id first, if there is one, and
+    long documents last, as they are compared only where all else ties."""
+    rest = [name for name in df.columns if name != by]
+    return sorted(rest, key=lambda name: (name != "row_id", name == "invoice_json"))
+
+
 def _sort_keys(df: DataFrame, by: str | None, order: str) -> list:
     """The sort column, then every other sortable column, so no two different
     rows tie and pages never overlap."""
     keys = []
     if by in df.columns:
         keys.append(F.asc_nulls_last(F.col(f"`{by}`")) if order == "asc" else F.desc_nulls_last(F.col(f"`{by}`")))
-    rest = [name for name in df.columns if name != by]
-    rest.sort(key=lambda name: name != "row_id")  # the id first, if there is one
-    return keys + [F.asc_nulls_last(F.col(f"`{name}`")) for name in rest]
+    return keys + [F.asc_nulls_last(F.col(f"`{name}`")) for name in _tie_names(df, by)]
 
 
 def sort_rows(df: DataFrame, by: str | None = DEFAULT_SORT, order: str = "desc") -> DataFrame:
@@ -76,38 +81,63 @@ def _literal(value, field: T.StructField) -> Column:
     return F.lit(str(value) if isinstance(value, datetime.date) else value).cast(field.dataType)
 
 
-def page_after(df: DataFrame, last_row: dict, by: str, order: str = "desc", limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """The page behind ``last_row`` (its sort column and row_id), at any depth.
-
-    Needs unique row ids. The bound is a filter, so it reaches the scan and no
-    earlier page is read again.
+def page_after(
+    df: DataFrame, last_row: dict, by: str, order: str = "desc", limit: int = DEFAULT_LIMIT, shown: int | None = None
+) -> DataFrame:
+    """The page behind ``last_row``, at any depth.
+
+    Rows are compared as ``sort_rows`` orders them, missing values last, by all
+    columns that ``last_row`` names: the sort column and the id where ids are
+    unique and never missing, else the whole row. Rows alike in every column
+    cannot be told apart; if pages may end among such, ``shown`` says how many
+    rows like the last one the pages so far had. The bound is a filter, so it
+    reaches the scan and no earlier page is read again.
     """
-    key, row_id = F.col(by), F.col("row_id")
-    if last_row[by] is None:
-        behind = key.isNull() & (row_id > last_row["row_id"])
-    else:
-        value = _literal(last_row[by], df.schema[by])
-        further = key > value if order == "asc" else key < value
-        behind = further | key.isNull() | ((key == value) & (row_id > last_row["row_id"]))
-    return sort_rows(df.filter(behind), by, order).limit(limit)
+    if by not in last_row:
+        raise ValueError(f"last_row must name the sort column {by!r}")
+    named = [by, *[name for name in _tie_names(df, by) if name in last_row]]
+    if named[1:] != _tie_names(df, by) and last_row.get("row_id") is None:
+        raise ValueError("give the whole last row: it has no id of its own")
+    behind, same = F.lit(False), F.lit(True)
+    for name in named:
+        key, value = F.col(f"`{name}`"), last_row[name]
+        if value is None:
+            same = same & key.isNull()
+            continue
+        value = _literal(value, df.schema[name])
+        descending = name == by and order != "asc"
+        further = key < value if descending else key > value
+        behind = behind | (same & (further | key.isNull()))
+        same = same & F.coalesce(key == value, F.lit(False))
+    rows = df.filter(behind if shown is None else behind | same)
+    return sort_rows(rows, by, order).offset(shown or 0).limit(limit)
 
 
 # Slices a sort column is cut into to find a deep page, and the number of rows
 # up to which top-k is the way to skip inside a slice.
 SLICES = 64
+TEXT_SAMPLE = 4096
 TOP_K_ROWS = 100_000
 
 
 def _slice_of(df: DataFrame, start: int, by: str, order: str, limit: int) -> tuple:
     """(rows of the value range that holds the page, rows before that range).
 
-    Two narrow passes: quantiles of the sort column, then exact counts between
-    them. A bad quantile makes slices uneven, never wrong.
+    Two narrow passes: quantiles of the sort column (of a sample of the
+    different values for texts), then exact counts between them. A bad
+    quantile makes slices uneven, never wrong.
     """
     field = df.schema[by]
-    ranks = [i / SLICES for i in range(1, SLICES)]
-    cuts = df.agg(F.percentile_approx(by, ranks)).first()[0]
-    edges = [_literal(value, field) for value in sorted({c for c in cuts or [] if c == c})]
+    if isinstance(field.dataType, T.StringType):
+        place = F.xxhash64(by)
+        some = df.filter(F.col(by).isNotNull()).select(by, place.alias("_place")).distinct().orderBy("_place").limit(TEXT_SAMPLE)
+        values = sorted((row[by] for row in some.collect()), key=lambda value: value.encode())
+        cuts = values[len(values) // SLICES :: max(1, len(values) // SLICES)]
+    else:
+        ranks = [i / SLICES for i in range(1, SLICES)]
+        cuts = df.agg(F.percentile_approx(by, ranks)).first()[0]
+    distinct = {c for c in cuts or [] if c == c}
+    edges = [_literal(v, field) for v in sorted(distinct, key=lambda c: c.encode() if isinstance(c, str) else c)]
     if not edges:
         return df, 0
     key = F.col(by)
@@ -148,12 +178,13 @@ def deep_page(
 
     Counting finds the value range the page lies in, and only its rows are
     read. If still many of them come before the page (one value may hold a
-    third of all rows, a text column has no quantiles), they are range-sorted
-    and kept; counts per partition then tell where the page is.
+    third of all rows), they are range-sorted and kept; counts per partition
+    then tell where the page is. Without a sort column the order of all
+    columns holds.
     """
     start = (number - 1) * limit
     sliceable = by in df.columns and isinstance(
-        df.schema[by].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+        df.schema[by].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType)
     )
     if sliceable and start + limit > top_k_rows:
         df, skipped = _slice_of(df, start, by, order, limit)
@@ -202,14 +233,16 @@ def explore(
     sort_by: str | None = DEFAULT_SORT,
     sort_order: str = "desc",
     filters: dict | None = None,
+    top_k_rows: int = TOP_K_ROWS,
 ) -> tuple:
     """(rows of the page, counts) for one explorer request.
 
-    Both are lazy; who needs only the rows pays only for them. Infinite
-    numbers, which records cannot hold, are shown as 0.
+    Both are lazy; who needs only the rows pays only for them. A page far down
+    is found by counting first, so no task ever gets all rows before it.
+    Infinite numbers, which records cannot hold, are shown as 0.
     """
     found = filter_columns(search_any(tx, search), filters or {})
-    rows = page(sort_rows(found, sort_by, sort_order), number, limit)
+    rows = deep_page(found, number, limit, sort_by, sort_order, top_k_rows)
     shown = {
         f.name: F.when(F.abs(F.col(f.name)) == float("inf"), 0.0).otherwise(F.col(f.name))
         for f in tx.schema.fields

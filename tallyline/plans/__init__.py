@@ -1,5 +1,13 @@
 from tallyline.plans.intake import intake_invoices
-from tallyline.plans.load import load_transactions, store_transactions, upload_csv
+from tallyline.plans.load import (
+    delete_selected,
+    load_transactions,
+    refresh_transactions,
+    save_annotations,
+    store_transactions,
+    stored_annotation,
+    upload_csv,
+)
 from tallyline.plans.reports import (
     charts,
     countries_analysis,

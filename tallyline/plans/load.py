@@ -1,12 +1,16 @@
 """From the sources to the stored canonical table."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyline.operators.canonical import canonical_csv, canonical_invoices, consolidate
 from tallyline.operators.checks import require_columns
+from tallyline.operators.maintain import id_frame, latest_annotation, upsert_annotations
 from tallyline.schema import UPLOAD_REQUIRED
+from tallyline.session import broadcast_if_small, staged
 from tallyline.sources.csv_files import read_transactions_csv
-from tallyline.sources.tables import read_invoice_lines, read_table, replace_dataset
+from tallyline.sources.tables import delete_rows, number_rows, read_invoice_lines, read_table, replace_dataset
 
 
 def load_transactions(
@@ -29,15 +33,86 @@ def load_transactions(
 def store_transactions(tx: DataFrame, path: str) -> DataFrame:
     """Keep the canonical table as Parquet by order year and read it back.
 
-    The analyses read it many times; year filters then open only the folders
-    of the years they need.
+    Rows get new ids, unique over all sources; the id a row has in its source
+    is kept as ``source_id``. The analyses read the table many times; year
+    filters then open only the folders of the years they need.
     """
-    replace_dataset(tx, path, ["order_date", "sales", "profit"])
+    own = F.col("row_id") if "row_id" in tx.columns else F.lit(None)
+    known = own if "source_id" not in tx.columns else F.coalesce("source_id", own)
+    rows = staged(tx.withColumn("source_id", known.cast("long")).drop("row_id"), "transactions")
+    numbered, _ = number_rows(rows, 1)
+    replace_dataset(numbered, path, ["order_date", "sales", "profit"])
     return read_table(tx.sparkSession, path)
 
 
-def upload_csv(spark: SparkSession, csv_path, path: str, date_format: str = "M/d/yyyy") -> int:
-    """Check a new historical file and make it the stored one; its row count."""
+def _of_source(spark: SparkSession, path: str, source: str) -> DataFrame | None:
+    """Rows of one source in a stored canonical table, with the ids they have there; None before the first store."""
+    try:
+        rows = read_table(spark, path)
+    except ValueError:
+        return None
+    kept = rows.filter(F.col("source") == source)
+    if "source_id" in kept.columns:
+        kept = kept.drop("row_id").withColumnRenamed("source_id", "row_id")
+    return kept.drop("order_year")
+
+
+def upload_csv(
+    spark: SparkSession,
+    csv_path,
+    path: str,
+    date_format: str = "M/d/yyyy",
+    rate_unit: str = "percent",
+    invoices_path: str | None = None,
+    rate: str = "amount",
+) -> int:
+    """Check a new historical file and make it the CSV part of the stored table; rows of all sources.
+
+    Invoices stay: those of the invoice store if it is given, else those that
+    the table holds.
+    """
     raw = read_transactions_csv(spark, csv_path)
     require_columns(raw, UPLOAD_REQUIRED)
-    return replace_dataset(canonical_csv(raw, date_format), path, ["order_date", "sales", "profit"])
+    csv = canonical_csv(raw, date_format, rate_unit)
+    if invoices_path is None:
+        xml = _of_source(spark, path, "xml")
+    else:
+        xml = canonical_invoices(read_invoice_lines(spark, invoices_path), rate)
+    return store_transactions(consolidate(csv, xml), path).count()
+
+
+def refresh_transactions(spark: SparkSession, path: str, invoices_path: str, rate: str = "amount") -> DataFrame:
+    """Rebuild the stored table after invoices came in or went: its CSV rows as they are, all stored invoices."""
+    xml = canonical_invoices(read_invoice_lines(spark, invoices_path), rate)
+    return store_transactions(consolidate(_of_source(spark, path, "csv"), xml), path)
+
+
+def delete_selected(spark: SparkSession, path: str, ids, invoices_path: str) -> int:
+    """Delete the invoice lines among the selected rows of the stored table; how many there were.
+
+    Rows of the historical file stay. The lines go from the invoice store and
+    the table is rebuilt.
+    """
+    wanted = broadcast_if_small(id_frame(spark, ids))
+    lines = read_table(spark, path).filter("source = 'xml'").join(wanted, "row_id", "left_semi")
+    lines = staged(lines.select(F.col("source_id").alias("row_id")), "selected")
+    if lines.isEmpty():
+        return 0
+    count = delete_rows(spark, invoices_path, lines)
+    refresh_transactions(spark, path, invoices_path)
+    return count
+
+
+def save_annotations(spark: SparkSession, changes: DataFrame, path: str) -> int:
+    """Store the newest text per page; how many pages have one."""
+    try:
+        both = upsert_annotations(read_table(spark, path), changes)
+    except ValueError:
+        both = upsert_annotations(changes.limit(0), changes)
+    return replace_dataset(both, path, ["page_name", "content", "updated_by_name", "updated_at"])
+
+
+def stored_annotation(spark: SparkSession, path: str, pages) -> DataFrame:
+    """Text and author stored for each page, or the default text."""
+    empty = T.StructType.fromDDL("page_name string, content string, updated_by_name string, updated_at timestamp")
+    return latest_annotation(read_table(spark, path, empty), pages)

@@ -15,6 +15,7 @@ from tallyline.sources.tables import (
     read_invoice_lines,
     read_table,
     replace_dataset,
+    stored_last_year,
 )
 
 __all__ = [

@@ -1,14 +1,20 @@
 """Stored tables: Parquet parts plus a small commit log.
 
-A table folder holds ``log`` (one row per commit) and parts written once. A
-part counts only after its row is in the log, so readers see a batch whole or
-not at all, and nothing is overwritten while it is read. Deleting rows adds
-their ids as a part; ``replace_dataset`` starts a new version and with it
-drops all earlier parts from view.
+A table folder holds parts written once and ``log``, a folder per commit with
+the list of all parts that count from then on. A part counts only after the
+commit that lists it, so readers see a batch whole or not at all, read one log
+folder however many batches there were, and nothing is overwritten while it is
+read. Deleting rows adds their ids as a part; ``replace_dataset`` lists its own
+part only and with it drops all earlier ones from view.
+
+A commit's folder is created once: of two writers that started from the same
+state the later one fails and its rows do not count.
 """
 
 import json
+import re
 import uuid
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -20,23 +26,47 @@ from tallyline.operators.maintain import id_frame
 from tallyline.schema import INVOICE_LINES
 from tallyline.session import broadcast_if_small, shared
 
-LOG_SCHEMA = "version long, seq long, kind string, part string, rows long, last_row_id long, columns string"
+LOG_SCHEMA = (
+    "seq long, kind string, part string, batch string, rows long, last_row_id long, first_date string, last_date string, columns string"
+)
 
 
-def _log(spark: SparkSession, path: str) -> list:
-    """Commits of the current version, oldest first: one row per commit."""
+class Commits(NamedTuple):
+    """The newest commit's number and the parts it lists, oldest first."""
+
+    number: int
+    parts: list
+
+    def last_row_id(self) -> int:
+        return max((p.last_row_id or 0 for p in self.parts), default=0)
+
+
+def _log(spark: SparkSession, path: str) -> Commits:
+    """The state after the newest commit: one row per part."""
     try:
-        log = spark.read.schema(LOG_SCHEMA).parquet(f"{path}/log")
+        log = spark.read.schema(f"{LOG_SCHEMA}, number long").parquet(f"{path}/log")
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            return []
+            return Commits(0, [])
+        raise
+    numbers = [int(re.search(r"/number=([0-9]+)/", file)[1]) for file in log.inputFiles()]  # one small file per commit
+    if not numbers:
+        return Commits(0, [])
+    newest = max(numbers)
+    return Commits(newest, log.filter(F.col("number") == newest).drop("number").orderBy("seq").collect())
+
+
+def _commit(spark: SparkSession, path: str, before: Commits, rows: list[tuple], replace: bool = False) -> None:
+    """List the new parts behind those of the state they were made from."""
+    kept = [] if replace else [tuple(p)[1:] for p in before.parts]
+    listed = [(i, *row) for i, row in enumerate([*kept, *rows])]
+    target = f"{path}/log/number={before.number + 1}"
+    try:
+        spark.createDataFrame(listed, LOG_SCHEMA).coalesce(1).write.mode("error").parquet(target)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_ALREADY_EXISTS":
+            raise RuntimeError(f"another writer has changed {path} meanwhile; nothing was stored") from error
         raise
-    current = log.agg(F.max("version")).scalar()
-    return log.filter(F.col("version") == current).orderBy("seq").collect()
-
-
-def _commit(spark: SparkSession, path: str, row: tuple) -> None:
-    spark.createDataFrame([row], LOG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/log")
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -45,7 +75,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     The log knows the columns of every part, so no file is opened to plan.
     ``schema`` is what a table without any commit reads as.
     """
-    commits = _log(spark, path)
+    commits = _log(spark, path).parts
     stored = [c for c in commits if c.kind == "rows"]
     if not stored:
         if schema is None:
@@ -123,6 +153,15 @@ def _write_part(df: DataFrame, path: str) -> str:
     return df.schema.json()
 
 
+def _dates(spark: SparkSession, path: str, columns: str) -> tuple:
+    """Least and greatest order date of a part, as text."""
+    schema = T.StructType.fromJson(json.loads(columns))
+    if "order_date" not in schema.fieldNames():
+        return None, None
+    dates = spark.read.schema(schema).parquet(path).agg(F.min("order_date").cast("string"), F.max("order_date").cast("string"))
+    return tuple(dates.first())
+
+
 def append_invoice_lines(df: DataFrame, path: str, part: str | None = None, stable: bool = False) -> int:
     """Add lines as one batch and number them; returns how many were added.
 
@@ -131,17 +170,17 @@ def append_invoice_lines(df: DataFrame, path: str, part: str | None = None, stab
     terms of ``number_rows``; any other frame is kept first.
     """
     spark = df.sparkSession
-    commits = _log(spark, path)
-    if part and any(c.part.startswith(f"part={part}-") for c in commits):
+    before = _log(spark, path)
+    if part is not None and any(c.batch == part for c in before.parts):
         return 0
-    first = 1 + max((c.last_row_id for c in commits), default=0)
+    first = 1 + before.last_row_id()
     numbered, count = number_rows(df if stable else shared(df), first)
     if count == 0:
         return 0
-    version = commits[-1].version if commits else 1
-    name = f"part={part or 'batch'}-{uuid.uuid4().hex}"
+    name = f"part=batch-{uuid.uuid4().hex}"
     columns = _write_part(numbered, f"{path}/{name}")
-    _commit(spark, path, (version, len(commits), "rows", name, count, first + count - 1, columns))
+    dates = _dates(spark, f"{path}/{name}", columns)
+    _commit(spark, path, before, [("rows", name, part, count, first + count - 1, *dates, columns)])
     return count
 
 
@@ -149,20 +188,29 @@ def replace_dataset(df: DataFrame, path: str, required: list) -> int:
     """Check the columns, then make ``df`` the whole dataset; returns its size."""
     require_columns(df, required)
     spark = df.sparkSession
-    commits = _log(spark, path)
-    version = 1 + (commits[-1].version if commits else 0)
+    before = _log(spark, path)
     name = f"part=dataset-{uuid.uuid4().hex}"
     columns = _write_part(df, f"{path}/{name}")
     stored = spark.read.schema(T.StructType.fromJson(json.loads(columns))).parquet(f"{path}/{name}")
-    last = max((c.last_row_id for c in commits), default=0)
     facts = [F.count("*").alias("rows")]
     if "row_id" in df.columns:
         facts.append(F.max("row_id").try_cast("long").alias("last"))
     found = stored.agg(*facts).first().asDict()
-    _commit(spark, path, (version, 0, "rows", name, found["rows"], max(last, found.get("last") or 0), columns))
+    last = max(before.last_row_id(), found.get("last") or 0)
+    dates = _dates(spark, f"{path}/{name}", columns)
+    _commit(spark, path, before, [("rows", name, None, found["rows"], last, *dates, columns)], replace=True)
     return found["rows"]
 
 
+def stored_last_year(spark: SparkSession, path: str) -> int | None:
+    """Year of the newest stored order, from the log alone; deleted rows count.
+
+    Analyses that take a ``year`` then prune files while they are planned.
+    """
+    years = [int(p.last_date[:4]) for p in _log(spark, path).parts if p.kind == "rows" and p.last_date]
+    return max(years, default=None)
+
+
 def delete_rows(spark: SparkSession, path: str, ids) -> int:
     """Delete by id; returns how many of the ids were there.
 
@@ -170,12 +218,11 @@ def delete_rows(spark: SparkSession, path: str, ids) -> int:
     ``replace_dataset(read_table(...))``.
     """
     wanted = id_frame(spark, ids)
-    commits = _log(spark, path)
+    before = _log(spark, path)
     name = f"part=deleted-{uuid.uuid4().hex}"
     found = read_table(spark, path).select("row_id").join(broadcast_if_small(wanted), "row_id", "left_semi")
     found.write.parquet(f"{path}/{name}")
     count = spark.read.parquet(f"{path}/{name}").count()
     if count:
-        last = max(c.last_row_id for c in commits)
-        _commit(spark, path, (commits[-1].version, len(commits), "deleted", name, count, last, None))
+        _commit(spark, path, before, [("deleted", name, None, count, before.last_row_id(), None, None, None)])
     return count

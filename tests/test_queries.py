@@ -4,6 +4,8 @@ import pytest
 
 import __spark_entry__ as entry
 from verification import compare
+from verification.oracles import ORACLES
+from verification.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -14,14 +16,15 @@ def db():
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, db, name):
     _, difference = compare.compare(spark, db, SF_DIR, name)
     assert difference is None

@@ -86,6 +86,7 @@ def in_both(direction):
     )
 
 
+# Edges and labels of the discount bands.
 BAND_ROWS = """b(band_ord, lo, hi, band) AS (VALUES
   (0, CAST(-0.001 AS DOUBLE), CAST(0 AS DOUBLE), '0%'), (1, 0, 0.05, '1-5%'), (2, 0.05, 0.10, '6-10%'),
   (3, 0.10, 0.15, '11-15%'), (4, 0.15, 0.20, '16-20%'), (5, 0.20, 2.0, 'Más de 20%'))"""
@@ -112,6 +113,7 @@ ROWS = "order_id, CAST(order_date AS VARCHAR) AS order_date, customer_name, coun
 ROW_ORDER = "order_id, customer_name, country, product_name, sales"
 FOUND = "product_name ILIKE '%gizmo%' AND regexp_matches(country, 'NATION_7$')"
 
+# Month labels.
 MONTHS = "['Ene','Feb','Mar','Abr','May','Jun','Jul','Ago','Sep','Oct','Nov','Dic']"
 
 
@@ -130,6 +132,7 @@ def cleaned_name():
     return f"replace({x}, ' INDUSTRIAL', '')"
 
 
+# Postal prefixes and their states.
 STATES = """st(prefix, state) AS (VALUES ('01','CDMX'),('02','CDMX'),('03','CDMX'),('04','CDMX'),('05','CDMX'),
   ('06','CDMX'),('20','Aguascalientes'),('21','Baja California'),('23','Baja California Sur'),('24','Campeche'),
   ('29','Chiapas'),('31','Chihuahua'),('34','Durango'),('37','Guanajuato'),('39','Guerrero'),('42','Hidalgo'),
@@ -480,6 +483,24 @@ ORACLES = {
           UNION ALL SELECT DISTINCT o_orderpriority FROM orders)
         SELECT page_name, coalesce(content, 'Sin comentarios estratégicos registrados aún.') AS content,
           coalesce(updated_by_name, 'Sistema') AS updated_by_name FROM asked LEFT JOIN newest USING (page_name)""",
+    "page_after_ties": with_tx(
+        f"SELECT {ROWS} FROM (SELECT * FROM tx ORDER BY tx.order_date DESC, {ROW_ORDER} LIMIT 50 OFFSET 500)"
+    ),
+    "explore_far_page": with_tx(
+        f"""SELECT {ROWS} FROM (SELECT * FROM tx
+            ORDER BY tx.product_name, tx.order_id, tx.order_date, customer_name, country, sales LIMIT 50 OFFSET 5000)"""
+    ),
+    "named_batches": """SELECT l_returnflag, count(*) AS lines, count(*) AS ids, sum(l_quantity) AS quantity
+        FROM lineitem GROUP BY l_returnflag""",
+    "upload_then_refresh": with_tx(
+        f"""SELECT CASE WHEN quantity % 2 = 0 THEN 'csv' ELSE 'xml' END AS source, count(*) AS rows, count(*) AS ids,
+            CAST(sum(quantity) AS BIGINT) AS quantity, {r4('sum(sales)')} AS sales FROM tx GROUP BY 1"""
+    ),
+    "delete_in_consolidated": with_tx(
+        f"""SELECT CASE WHEN quantity % 2 = 0 THEN 'csv' ELSE 'xml' END AS source, count(*) AS rows, count(*) AS ids,
+            CAST(sum(quantity) AS BIGINT) AS quantity, {r4('sum(sales)')} AS sales FROM tx
+            WHERE quantity % 2 = 0 OR NOT regexp_matches(country, '(?i)nation_7$') GROUP BY 1"""
+    ),
     "newest_first": "SELECT event_id, CAST(ts AS VARCHAR) AS ts, event_type FROM events ORDER BY events.ts DESC, event_id",
     "snapshot_changes": """SELECT o_orderkey AS id, o_custkey AS email,
         CASE WHEN o_orderpriority = '5-LOW' THEN 'ELIMINACION_USUARIO' ELSE 'MODIFICACION_GOBERNANZA' END AS action,
@@ -490,3 +511,5 @@ ORACLES = {
     "numbered_rows": """SELECT count(*) AS rows, count(*) AS ids, CAST(1 AS BIGINT) AS first_id,
         count(*) AS last_id FROM lineitem""",
 }
+ORACLES["csv_mixed_headers"] = ORACLES["csv_round_trip"]
+ORACLES["stored_annotations"] = ORACLES["latest_annotation"]

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 import tallyline as tl
 from tallyline.fixtures import table, transactions
 from tallyline.functions.numbers import number_text
-from tallyline.schema import CSV_COLUMNS
+from tallyline.schema import CSV_COLUMNS, INVOICE_LINES
 from tallyline.session import scratch_path
 from tallyline.sources.tables import number_rows
 
@@ -230,7 +230,7 @@ def deep_page(spark, sf):
 
 
 def deep_page_by_name(spark, sf):
-    """A page found by sorted partitions: names have no value range."""
+    """A page found by ranges of names."""
     return tl.deep_page(_documents_tx(spark, sf), 91, 50, by="customer_name", order="asc", top_k_rows=1000)
 
 
@@ -242,6 +242,19 @@ def page_after(spark, sf):
     return tl.page_after(orders, {"order_date": end_of_1998, "row_id": 100}, "order_date", "desc", 500)
 
 
+def page_after_ties(spark, sf):
+    """The page behind page 10, found by its last row: dates tie, and there is no id."""
+    tx = _documents_tx(spark, sf)
+    tenth = tl.page(tl.sort_rows(tx, "order_date", "desc"), 10, 50).collect()
+    last = tenth[-1].asDict()
+    return tl.page_after(tx, last, "order_date", "desc", 50, shown=sum(row == tenth[-1] for row in tenth))
+
+
+def explore_far_page(spark, sf):
+    rows, _ = tl.explore(_documents_tx(spark, sf), 101, 50, sort_by="product_name", sort_order="asc", top_k_rows=1000)
+    return rows
+
+
 def page_info(spark, sf):
     return tl.page_info(tl.search_any(_documents_tx(spark, sf), "widget"), 50)
 
@@ -390,6 +403,16 @@ def csv_round_trip(spark, sf):
     return tl.canonical_csv(tl.read_transactions_csv(spark, path))
 
 
+def csv_mixed_headers(spark, sf):
+    """Two sets of files whose columns stand in another order, read as one."""
+    cells = _csv_texts(spark, sf)
+    odd = F.col(" Quantity ") % 2 == 1
+    paths = [scratch_path(spark, "csv"), scratch_path(spark, "csv")]
+    cells.filter(odd).write.option("header", True).option("escape", '"').csv(paths[0])
+    cells.filter(~odd).select(*reversed(cells.columns)).write.option("header", True).option("escape", '"').csv(paths[1])
+    return tl.canonical_csv(tl.read_transactions_csv(spark, paths))
+
+
 def _invoice_documents(spark, sf):
     """One document per order line, holding two invoice lines."""
     line = table(spark, sf, "lineitem")
@@ -505,7 +528,7 @@ def suppress_duplicates(spark, sf):
 
 
 def ingest_report(spark, sf):
-    docs = _order_documents(spark, sf)
+    docs = tl.document_keys(_order_documents(spark, sf))
     _, duplicates = tl.suppress_duplicates(docs, _stored_orders(spark, sf))
     return tl.ingest_report(docs, duplicates)
 
@@ -527,6 +550,75 @@ def invoice_intake(spark, sf):
     )
 
 
+# --- stored tables ----
+
+
+def _lines(spark, sf, condition):
+    """Stored invoice lines made of the test tables' order lines."""
+    tx = transactions(spark, sf).filter(condition)
+    fixed = {"perdida": F.lit(0.0), "metodo_pago": F.lit("PUE"), "raw_xml_data": F.lit("{}"), "ship_mode": F.lit("Express")}
+    return tx.select(*[fixed.get(f.name, F.col(f.name) if f.name in tx.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in INVOICE_LINES.fields])
+
+
+def _csv_file(spark, sf, condition):
+    """Historical files whose row ids are those that invoice lines get too."""
+    names = {new: old for old, new in CSV_COLUMNS.items()}
+    tx = transactions(spark, sf, "order_id", "order_date", "ship_date", "category", "country", "sales", "profit", "quantity")
+    tx = tx.filter(condition).withColumn("row_id", F.monotonically_increasing_id() % 1000 + 1)
+    tx = tx.withColumns({c: F.date_format(c, "M/d/yyyy") for c in ("order_date", "ship_date")})
+    path = scratch_path(spark, "csv")
+    tx.withColumnsRenamed({c: names[c] for c in tx.columns}).write.option("header", True).csv(path)
+    return path
+
+
+def _by_source(tx):
+    return tx.groupBy("source").agg(
+        F.count("*").alias("rows"), F.count_distinct("row_id").alias("ids"), F.sum("quantity").alias("quantity"), F.sum("sales").alias("sales")
+    )
+
+
+def named_batches(spark, sf):
+    """Batches whose names begin alike, one of them sent twice."""
+    path = scratch_path(spark, "batches")
+    lines = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_shipdate").alias("order_date"), "l_quantity")
+    for part, flag in (("2024-01", "A"), ("2024", "N"), ("2024", "N"), ("batch", "R")):
+        tl.append_invoice_lines(lines.filter(F.col("l_returnflag") == flag), path, part)
+    return tl.read_table(spark, path).groupBy("l_returnflag").agg(
+        F.count("*").alias("lines"), F.count_distinct("row_id").alias("ids"), F.sum("l_quantity").alias("quantity")
+    )
+
+
+def upload_then_refresh(spark, sf):
+    """A second upload replaces the first and keeps the invoices; new invoices join them."""
+    path, invoices = scratch_path(spark, "tx"), scratch_path(spark, "invoices")
+    tl.append_invoice_lines(_lines(spark, sf, "quantity % 2 = 1 and quantity < 25"), invoices)
+    tl.upload_csv(spark, _csv_file(spark, sf, "quantity % 3 = 0"), path, invoices_path=invoices)
+    tl.upload_csv(spark, _csv_file(spark, sf, "quantity % 2 = 0"), path)
+    tl.append_invoice_lines(_lines(spark, sf, "quantity % 2 = 1 and quantity >= 25"), invoices)
+    return _by_source(tl.refresh_transactions(spark, path, invoices))
+
+
+def delete_in_consolidated(spark, sf):
+    """Rows of one country selected and deleted: only invoices go, though ids of both sources overlap."""
+    path, invoices = scratch_path(spark, "tx"), scratch_path(spark, "invoices")
+    tl.append_invoice_lines(_lines(spark, sf, "quantity % 2 = 1"), invoices)
+    tl.upload_csv(spark, _csv_file(spark, sf, "quantity % 2 = 0"), path, invoices_path=invoices)
+    chosen = tl.filter_columns(tl.read_table(spark, path), {"country": "nation_7$"})
+    tl.delete_selected(spark, path, chosen, invoices)
+    return _by_source(tl.read_table(spark, path))
+
+
+def stored_annotations(spark, sf):
+    path = scratch_path(spark, "notes")
+    first, second = _notes(spark, sf)
+    tl.save_annotations(spark, first, path)
+    tl.save_annotations(spark, second, path)
+    requested = table(spark, sf, "region").select(F.col("r_name").alias("page_name")).union(
+        table(spark, sf, "orders").select("o_orderpriority").distinct()
+    )
+    return tl.stored_annotation(spark, path, requested)
+
+
 # --- maintenance ----------------------------------------------------------------------
 
 
@@ -630,12 +722,13 @@ QUERIES = {
         customer_totals, customer_list, top_profit_customers, top_revenue_customers, bottom_profit_customers,
         bottom_revenue_customers, vip_customers, critical_customers, segment_customers,
         country_totals, shipping_margin, market_leader, market_bubble, bottom_countries, critical_geography,
-        search_any, filter_columns, sorted_page, deep_page, deep_page_by_name, page_after, page_info, page_info_literal,
+        search_any, filter_columns, sorted_page, deep_page, deep_page_by_name, page_after, page_after_ties, explore_far_page, page_info, page_info_literal,
         explore_rows, explore_counts, audit_export,
         date_functions, event_times, label_functions, number_functions, catalogue_lookups, sanitized_measures, narrow_measures,
-        csv_round_trip, parse_invoices, parse_invoices_last_line, invoice_json, invoice_archives,
+        csv_round_trip, csv_mixed_headers, parse_invoices, parse_invoices_last_line, invoice_json, invoice_archives,
         canonical_invoices, consolidated_sources, suppress_duplicates, ingest_report, invoice_intake,
         delete_by_ids, deleted_count, stored_delete, replace_dataset, upsert_annotations, latest_annotation,
+        named_batches, upload_then_refresh, delete_in_consolidated, stored_annotations,
         newest_first, snapshot_changes, record_count, numbered_rows,
     ]
 }
