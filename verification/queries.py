@@ -456,11 +456,11 @@ def _invoice_documents(spark, sf):
 
 
 def parse_invoices(spark, sf):
-    return tl.parse_invoices(_invoice_documents(spark, sf)).drop("raw_xml_data")
+    return tl.parse_invoices(_invoice_documents(spark, sf), keep_document=False).drop("raw_xml_data")
 
 
 def parse_invoices_last_line(spark, sf):
-    return tl.parse_invoices(_invoice_documents(spark, sf), compat="last_line").drop("raw_xml_data")
+    return tl.parse_invoices(_invoice_documents(spark, sf), compat="last_line", keep_document=False).drop("raw_xml_data")
 
 
 def invoice_json(spark, sf):
