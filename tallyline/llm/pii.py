@@ -77,11 +77,15 @@ LOOKALIKES = dict(zip("аеорсухіјѕԁһАВЕКМНОРСТУХІЈЅ",
 UNSEEN = frozenset("­​‌‍⁠﻿")
 # Digits in words.
 DIGIT_WORDS = {word: str(n) for n, word in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
-DIGIT_ROW = 4
+#: Digit words in a row that are read as a number; fewer are ordinary words, except between the dots of an address.
+DIGIT_ROW = 3
 
 _WORD = "|".join(DIGIT_WORDS)
 _DIGIT_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:{_WORD})(?:[ -](?:{_WORD}))+(?![A-Za-z0-9])", re.I)
 _DIGIT_WORD = re.compile(_WORD, re.I)
+_PART = rf"(?:{_WORD})(?:[ -](?:{_WORD})){{0,2}}"
+_IP_SPELLED = re.compile(rf"(?<![A-Za-z0-9]){_PART}(?: (?:dot|point) {_PART}){{3}}(?![A-Za-z0-9])", re.I)
+_IP_PIECE = re.compile(rf"[ -]?(?P<digit>{_WORD})| (?:dot|point) ", re.I)
 _PLUS = re.compile(r"(?<![A-Za-z])plus (?=[0-9])", re.I)
 _BRACKET = re.compile(r" {0,2}[(\[{<] {0,2}(at|dot|arroba|punto|point|punkt) {0,2}[)\]}>] {0,2}", re.I)
 # Words alone count only together: name AT host DOT ending.
@@ -140,6 +144,12 @@ def transduce(text: str) -> Rewritten | None:
         pattern = re.compile("[" + "".join(map(re.escape, new)) + "]")
         out = out.replace([(m.start(), m.end(), new[m[0]]) for m in pattern.finditer(text)])
     if _HINT.search(out.text):
+        edits = []
+        for m in _IP_SPELLED.finditer(out.text):
+            pieces = list(_IP_PIECE.finditer(out.text, m.start(), m.end()))
+            # A dot's own blanks are not those before the digit word that follows.
+            edits += [(*p.span(), DIGIT_WORDS[p["digit"].lower()] if p["digit"] else ".") for p in pieces]
+        out = out.replace(edits)
         edits = []
         for m in _DIGIT_RUN.finditer(out.text):
             words = [w for w in _DIGIT_WORD.finditer(out.text, m.start(), m.end())]
