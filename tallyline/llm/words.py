@@ -81,6 +81,8 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE) -> It
         cut = texts.offsets[row : end + 1]
         yield batch.slice(row, end - row), Texts(texts.data[cut[0] : cut[-1]], cut - cut[0])
         row = end
+    # Give back what earlier batches used: workers live on between tasks.
+    pa.default_memory_pool().release_unused()
 
 
 class Spans(NamedTuple):
