@@ -10,20 +10,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.session import scratch_path, shared
+from tallyline.session import broadcast_if_small, shared, staged
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written once to the session's shared folder; readers read the columns they need."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+stored = staged
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    """Changes when the set of edges does."""
-    h = F.xxhash64("a", "b")
-    return tuple(edges.agg(F.count("*"), F.sum(h.cast("decimal(20,0)"))).first())
+def _is_star(edges: DataFrame) -> bool:
+    """Whether no smaller end of an edge is the larger end of another, and no larger end has two smaller ones."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -38,12 +36,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
     edges = shared(edges.distinct())
-    before = None
-    while (now := _fingerprint(edges)) != before:
-        before = now
+    while not _is_star(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = shared(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
@@ -51,68 +47,106 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
-#: Pairs left to look at one by one, per row of the buckets; beyond it another round of pivots comes first.
-PAIRS_PER_ROW = 2
-ROUNDS = 6
-
-
 def link_buckets(
-    buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column] | None = None
+    nodes: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
+    alone: tuple[Column, Callable[[Column], Column]] | None = None,
+    sharpen: Callable[[DataFrame], DataFrame] | None = None,
+    nearer: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
 ) -> DataFrame:
-    """(node, component) over the links that ``verify`` confirms among nodes sharing a bucket.
-
-    ``buckets`` has (bucket, node) and, if ``near`` is given, (mark) to tell
-    cheaply from two marks whether a pair is worth verifying. ``verify`` takes
-    distinct pairs (a, b) and returns those that are linked.
-
-    In each round a bucket's best connected node is compared with all others
-    of the bucket and then leaves it; nodes that now belong together are
-    compared no more. When few pairs of different components are left, or after
-    a fixed number of rounds, those are compared one by one. So every pair that
-    shares a bucket ends compared or within one component: no link between
-    components is lost, whatever the size of a bucket. Nodes without links are
-    not returned.
+    """(node, component) over the links that ``verify`` confirms among nodes that share a key.
+
+    ``nodes`` has (node, keys: distinct longs, and marks). ``near`` tells from
+    the marks of two nodes, given as ``a("name")`` and ``b("name")``, whether a
+    pair may be linked at all; it runs inside joins, so only such pairs leave
+    them. ``alone`` may say the same of the two nodes of a key that just two
+    have, from an aggregate over their marks. ``verify`` takes distinct pairs
+    (a, b) and returns those linked.
+
+    Keys of two nodes give their pair at once. Of a key of more the best
+    connected node is the pivot. First each node is compared with the best
+    connected pivot among those of its keys, then those that this
+    leaves outside a pivot's component with that pivot; what is linked so far is
+    put in components each time. Then, key by key, the nodes outside the pivot's component
+    are compared with the nodes of other components; for these keys
+    ``sharpen`` may give further marks, from (node) of all nodes that have one
+    of them, for ``nearer`` to rule pairs out. A pair that shares several such
+    keys is looked at under the first of them. So each pair that shares a key
+    ends ruled out, compared or within one component, whatever the number of
+    nodes with a key, and a key whose nodes are all linked costs no more than
+    its nodes. Nodes without links are not returned.
     """
-    mark = ["mark"] if near else []
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = stored(buckets.join(sizes, "bucket").select("bucket", "node", "n", *mark), "buckets")
+    marks = [c for c in nodes.columns if c not in ("node", "keys")]
+    each = nodes.select("node", F.posexplode("keys").alias("at", "key"), *marks)
+    held = each.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), *([alone[0].alias("both")] if alone else [])
+    ).filter("n > 1")
+    if alone:
+        held = held.filter((F.col("n") > 2) | alone[1](F.col("both")))
+    held = stored(held.select("key", "n", "a", "b"), "shared-keys")
+    several = broadcast_if_small(stored(held.filter("n > 2").select("key", "n"), "several"))
+    rows = stored(each.select("node", "at", "key").join(several, "key"), "rows")
     degree = rows.groupBy("node").agg(F.sum("n").alias("degree"))
-    rows = stored(rows.join(degree, "node").select("bucket", "node", "degree", F.col("node").alias("component"), *mark), "buckets")
-    links: DataFrame | None = None
-    groups: DataFrame | None = None
-    for step in range(ROUNDS + 1):
-        if rows.isEmpty():
-            break
-        # Pairs of one bucket but of different components, counted and not formed.
-        held = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        open_ = held.groupBy("bucket").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
-        totals = open_.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()
-        last = step == ROUNDS or totals[1] <= PAIRS_PER_ROW * totals[0]
-        if last:
-            left = rows.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), *[F.col(m).alias("ma") for m in mark])
-            right = rows.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), *[F.col(m).alias("mb") for m in mark])
-            pairs = left.join(right, "bucket").filter("ca < cb")
-        else:
-            best = rows.groupBy("bucket").agg(F.max("degree").alias("degree"))
-            pivot = rows.join(best, ["bucket", "degree"]).groupBy("bucket").agg(F.min("node").alias("pivot"))
-            chosen = rows.join(pivot, "bucket")
-            heads = chosen.filter("node = pivot").select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), *[F.col(m).alias("ma") for m in mark])
-            others = chosen.filter("node <> pivot").select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), *[F.col(m).alias("mb") for m in mark])
-            pairs = others.join(heads, "bucket").filter("ca <> cb")
-        if near:
-            pairs = pairs.filter(near(F.col("ma"), F.col("mb")))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = stored(verify(pairs), "links")
-        links = found if links is None else links.unionByName(found)
-        if last:
-            return connected_components(links)
+    two = held.filter("n = 2").select("a", "b").distinct()
+    about = stored(degree.join(nodes, "node").select("node", "degree", "keys", *marks), "about")
+    best = rows.join(about.select("node", "degree"), "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("best"))
+    pivots = stored(best.select("key", F.col("best.degree").alias("degree"), F.col("best.node").alias("pivot")), "pivots")
+
+    def side(source: DataFrame, which: str, *columns: str) -> DataFrame:
+        return source.select(F.col("node").alias(which), *[F.col(c).alias(f"{which}_{c}") for c in [*columns, *marks]])
+
+    may_link = near(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
+    chosen = rows.join(pivots, "key").groupBy("node").agg(F.max(F.struct("degree", "pivot")).alias("best"))
+    pairs = chosen.select(F.col("node").alias("a"), F.col("best.pivot").alias("b")).filter("a <> b")
+    pairs = pairs.join(side(about, "a"), "a").join(side(about, "b"), "b").filter(may_link).select("a", "b")
+    if not alone:
+        two = two.join(side(nodes, "a"), "a").join(side(nodes, "b"), "b").filter(may_link).select("a", "b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(two).distinct()
+    links = stored(verify(pairs), "links")
+    groups = shared(connected_components(links))
+
+    def grouped(df: DataFrame, column: str, out: str) -> DataFrame:
+        named = groups.select(F.col("node").alias(column), F.col("component").alias(out))
+        return df.join(named, column, "left").withColumn(out, F.coalesce(out, column))
+
+    def beyond() -> DataFrame:
+        """Rows of nodes outside the component of their key's pivot."""
+        placed = grouped(rows.select("node", "at", "key"), "node", "component")
+        main = grouped(pivots, "pivot", "main").select("key", "main", "pivot")
+        found = placed.join(main, "key").filter("component <> main")
+        return stored(found.select(F.col("node").alias("a"), "at", "key", F.col("component").alias("ca"), "main", "pivot"), "outside")
+
+    outside = beyond()
+    if outside.isEmpty():
+        return groups
+    pairs = outside.select("a", F.col("pivot").alias("b")).distinct().join(side(about, "a"), "a").join(side(about, "b"), "b").filter(may_link)
+    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    more = stored(verify(pairs), "links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
         groups = shared(connected_components(links))
-        rows = (
-            chosen.filter("node <> pivot").drop("component", "pivot").join(groups, "node", "left")
-            .withColumn("component", F.coalesce("component", "node"))
-        )
-        several = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket")
-        rows = stored(rows.join(several, "bucket").select("bucket", "node", "degree", "component", *mark), "buckets")
-    if groups is None:
-        return buckets.select("node", F.col("node").alias("component")).limit(0)
-    return groups
+        outside = beyond()
+        if outside.isEmpty():
+            return groups
+    placed = stored(grouped(rows.select("node", "at", "key"), "node", "component"), "placed")
+    open_ = stored(outside.select("key").distinct(), "open")
+    rest = placed.join(broadcast_if_small(open_), "key", "left_semi")
+    if sharpen:
+        rest = stored(rest, "rest")
+        sharper = sharpen(rest.select("node").distinct())
+        about = stored(about.join(sharper, "node"), "about")
+        marks = [c for c in about.columns if c not in ("node", "keys", "degree")]
+        may_link = may_link & nearer(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
+    rest = rest.select(F.col("node").alias("b"), "key", F.col("component").alias("cb"))
+    a, b = outside.join(side(about, "a", "keys"), "a"), rest.join(side(about, "b", "keys"), "b")
+    # Of two nodes outside, the smaller asks.
+    once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
+    earlier = F.expr("at > 0 and arrays_overlap(slice(a_keys, 1, at), slice(b_keys, 1, at))")
+    wanted = (F.col("ca") != F.col("cb")) & once & may_link & ~earlier
+    pairs = a.join(b.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & wanted)
+    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    if pairs.isEmpty():
+        return groups
+    more = stored(verify(pairs), "links")
+    return groups if more.isEmpty() else connected_components(links.unionByName(more))

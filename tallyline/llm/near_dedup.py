@@ -11,8 +11,8 @@ compared on the full sets.
 
 Documents with equal sets (128-bit hash and size) are one class and are never
 compared. With the default sketch a pair at similarity 0.85 misses all buckets
-with probability 2e-8 and at 0.8 with 4e-6; the estimate rejects it wrongly
-less often than that. There is no cap on a bucket, class or group.
+with probability 6e-9 and at 0.8 with 6e-6; estimates may lie five standard
+deviations below the threshold. There is no cap on a bucket, class or group.
 
 Nulls and empty texts have the empty set, which is linked with nothing. Rows
 with a null identifier are linked by their texts, and a group of such rows only
@@ -20,19 +20,19 @@ has a null component. Repeated rows fall in one class. An empty table gives an
 empty result.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm.linking import link_buckets, stored
 from tallyline.llm.words import Texts, hash_spans, mix, shingle_hashes, slices, words_of
 from tallyline.session import broadcast_if_small
 
-REGISTERS = 96
-BAND = 4
+REGISTERS = 240
+BAND = 6
 #: Base, rate and limit of the registers.
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
 #: How far below the threshold an estimate may lie, in standard deviations of an estimate at the threshold.
@@ -82,6 +82,18 @@ def registers(shingles: np.ndarray, before: np.ndarray, count: int = REGISTERS)
     return out
 
 
+#: One bit of each register, sixty to a long.
+BITS = [f"bits{i}" for i in range(-(-REGISTERS // 60))]
+
+
+def one_bit_each(marks: np.ndarray) -> np.ndarray:
+    """(texts, longs): equal registers give equal bits, others equal ones half the time."""
+    bits = mix(marks.astype(np.uint64) * np.uint64(REGISTERS) + np.arange(marks.shape[1], dtype=np.uint64)[None, :], 47) & np.uint64(1)
+    longs = [(bits[:, i : i + 60] << np.arange(bits[:, i : i + 60].shape[1], dtype=np.uint64)[None, :]).sum(axis=1, dtype=np.uint64)
+             for i in range(0, marks.shape[1], 60)]
+    return np.column_stack(longs).view(np.int64)
+
+
 def likely_similarity(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, steps: int = 64) -> np.ndarray:
     """Most likely Jaccard similarity of each pair, from how many registers are greater, less or equal."""
     greater, less = (a > b).sum(axis=1), (a < b).sum(axis=1)
@@ -124,6 +136,7 @@ def _sketch(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"),
                     "text_hash": part.column("text_hash"),
+                    **{name: pa.array(bits) for name, bits in zip(BITS, one_bit_each(marks).T)},
                     "n_shingles": pa.array(np.diff(before), pa.int64()),
                     "key1": pa.array((total[0][before[1:]] - total[0][before[:-1]]).view(np.int64)),
                     "key2": pa.array((total[1][before[1:]] - total[1][before[:-1]]).view(np.int64)),
@@ -133,7 +146,7 @@ def _sketch(docs: DataFrame, width: int) -> DataFrame:
 
     key = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(
-        run, f"doc_id {key}, text_hash long, n_shingles long, key1 long, key2 long, registers binary, bands array<long>"
+        run, f"doc_id {key}, text_hash long, {', '.join(f'{name} long' for name in BITS)}, n_shingles long, key1 long, key2 long, registers binary, bands array<long>"
     )
 
 
@@ -150,6 +163,20 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, set binary")
 
 
+def _members(docs: DataFrame, width: int) -> DataFrame:
+    """Rows (text, node) -> (node, shingle): one row per distinct shingle hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch):
+                shingles, before = document_shingles(texts, width)
+                first = _distinct(shingles, before)
+                own = np.repeat(part.column("node").to_numpy(), np.diff(before))[first]
+                yield pa.RecordBatch.from_pydict({"node": pa.array(own), "shingle": pa.array(shingles[first].view(np.int64))})
+
+    return docs.select("node", "text").mapInArrow(run, "node long, shingle long")
+
+
 def _maybe_similar(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs with registers and sizes -> the pairs whose likely similarity may reach the threshold."""
     level = percent / 100
@@ -192,11 +219,11 @@ def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 def near_groups(
     docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id, class_first), one row per row of ``docs``.
+    """(doc_id, text_hash, n_shingles, component, component_id), one row per row of ``docs``.
 
     ``percent`` is the least 100 * intersection / union of a link. A component
-    is named by the smallest identifier in it. ``class_first`` is the smallest
-    identifier among the rows with an equal set.
+    is named by the smallest identifier in it; ``component`` tells components
+    apart even if rows share identifiers, and is null for texts without words.
     """
     rows = _rows(docs, id_column, text_column)
     sketches = stored(_sketch(rows, width), "sketches")
@@ -204,61 +231,83 @@ def near_groups(
     # Rows of a class agree in registers and bands.
     classes = sketches.filter("n_shingles > 0").groupBy(*key).agg(
         F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_hash")).alias("at"),
-        F.any_value("registers").alias("registers"), F.any_value("bands").alias("bands"),
+        F.any_value("registers").alias("registers"), F.any_value("bands").alias("keys"), *[F.max(name).alias(name) for name in BITS],
     )
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    buckets = classes.select(F.explode("bands").alias("bucket"), "node")
+    differ = (1 - percent / 100) / 2
+    most = REGISTERS * differ + MARGIN * float(np.sqrt(REGISTERS * differ * (1 - differ)))
+
+    def near(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+        fits = F.least(a("n_shingles"), b("n_shingles")) * 100 >= F.greatest(a("n_shingles"), b("n_shingles")) * percent
+        return fits & (sum(F.bit_count(a(name).bitwiseXOR(b(name))) for name in BITS) <= most)
+
     sizes = classes.select("node", "n_shingles", "registers")
 
+    def texts_of_nodes(nodes: DataFrame) -> DataFrame:
+        """(node, text) from one row of each class; only repeated rows can give it twice."""
+        wanted = broadcast_if_small(stored(nodes.join(classes, "node").select("node", "at"), "wanted"))
+        return rows.join(wanted, rows.doc_id.eqNullSafe(wanted["at.doc_id"]) & (rows.text_hash == wanted["at.text_hash"])).select("node", "text")
+
     def verify(pairs: DataFrame) -> DataFrame:
         for side in "ab":
             pairs = pairs.join(
                 sizes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("registers").alias(f"r{side}")), side
             )
-        fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-        maybe = stored(_maybe_similar(pairs.filter(fits).select("a", "b", "na", "nb", "ra", "rb"), percent), "pairs")
-        # One row of each class gives the text; only repeated rows can give it twice.
-        wanted = maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node")
-        wanted = broadcast_if_small(stored(wanted.select("node", "at"), "wanted"))
-        texts = rows.join(wanted, rows.doc_id.eqNullSafe(wanted["at.doc_id"]) & (rows.text_hash == wanted["at.text_hash"]))
-        sets = stored(_sets(texts.select("text", "node"), width).groupBy("node").agg(F.any_value("set").alias("set")), "sets")
+        maybe = stored(_maybe_similar(pairs.select("a", "b", "na", "nb", "ra", "rb"), percent), "pairs")
+        nodes = maybe.select(F.col("a").alias("node")).union(maybe.select("b")).distinct()
+        sets = stored(_sets(texts_of_nodes(nodes), width).groupBy("node").agg(F.any_value("set").alias("set")), "sets")
         for side in "ab":
             maybe = maybe.join(sets.select(F.col("node").alias(side), F.col("set").alias(f"s{side}")), side)
         return _similar(maybe.select("a", "b", "sa", "sb"), percent)
 
-    groups = link_buckets(buckets, verify)
-    placed = classes.select(*key, "node", F.col("first").alias("class_first")).join(groups, "node", "left")
+    def shared_shingles(nodes: DataFrame) -> DataFrame:
+        """(node, n_shared): how many of a node's shingles any other of the nodes has too."""
+        held = _members(texts_of_nodes(nodes), width).groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+        lone = held.filter("node = last").groupBy("node").agg(F.count("*").alias("lone"))
+        counted = nodes.join(sizes, "node").join(lone, "node", "left")
+        return counted.select("node", (F.col("n_shingles") - F.coalesce("lone", F.lit(0))).alias("n_shared"))
+
+    def may_reach(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+        """No more than either's shared shingles can be common to both."""
+        common = F.least(a("n_shared"), b("n_shared"))
+        return common * 100 >= (a("n_shingles") + b("n_shingles") - common) * percent
+
+    groups = link_buckets(classes.select("node", "keys", "n_shingles", *BITS), verify, near, sharpen=shared_shingles, nearer=may_reach)
+    placed = classes.select(*key, "node", "first").join(groups, "node", "left")
     placed = placed.withColumn("component", F.coalesce("component", "node"))
-    names = placed.groupBy("component").agg(F.min("class_first").alias("component_id"))
-    placed = stored(placed.join(names, "component").select(*key, "component_id", "class_first"), "placed")
-    filled = sketches.filter("n_shingles > 0").join(placed, key).select(
-        "doc_id", "text_hash", "n_shingles", "component_id", "class_first"
-    )
-    empty = sketches.filter("n_shingles = 0").select(
-        "doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_first")
-    )
-    return filled.unionByName(empty)
+    names = placed.groupBy("component").agg(F.min("first").alias("component_id"))
+    placed = stored(placed.join(names, "component").select(*key, "component", "component_id"), "placed")
+    columns = ["doc_id", "text_hash", "n_shingles", "component", "component_id"]
+    filled = sketches.filter("n_shingles > 0").join(placed, key).select(*columns)
+    empty = sketches.filter("n_shingles = 0").withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
+    return filled.unionByName(empty.select(*columns))
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group the row with the smallest identifier stays.
 
-    Rows that repeat both identifier and text count once. Rows without words
-    and groups without any identifier stay whole.
+    A null identifier counts as greater than all others; of rows that share the
+    smallest one the least text hash decides, and of repeated rows one stays.
+    Rows without words all stay.
     """
-    groups = stored(near_groups(docs, width, percent, id_column, text_column), "near")
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    groups = stored(near_groups(docs, width, percent, id_column, text_column).filter("component is not null"), "near")
+    first = groups.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "text_hash")).alias("first"))
+    groups = groups.join(stored(first, "first"), "component")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     dropped = stored(groups.filter(~stays).select("doc_id", "text_hash").distinct(), "dropped")
-    again = groups.filter(stays & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    text_hash = F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit("")))
+    again = groups.filter(stays).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1")
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     id_name, text_name = names[docs.columns.index(id_column)], names[docs.columns.index(text_column)]
     plain = plain.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_name).cast("string"), F.lit(""))))
-    small = broadcast_if_small(dropped)
-    out = plain.join(small, plain[id_name].eqNullSafe(small["doc_id"]) & (plain["__hash"] == small["text_hash"]), "left_anti")
+
+    def among(rows: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
+        return rows.join(chosen, rows[id_name].eqNullSafe(chosen["doc_id"]) & (rows["__hash"] == chosen["text_hash"]), how)
+
+    out = among(plain, broadcast_if_small(dropped), "left_anti")
+    again = stored(again.select("doc_id", "text_hash"), "again")
     if not again.isEmpty():
-        repeats = broadcast_if_small(stored(again.select("doc_id"), "again"))
-        once = out.join(repeats, out[id_name] == repeats["doc_id"], "left_semi").dropDuplicates([id_name])
-        out = out.join(repeats, out[id_name] == repeats["doc_id"], "left_anti").unionByName(once)
+        repeats = broadcast_if_small(again)
+        once = among(out, repeats, "left_semi").dropDuplicates([id_name, "__hash"])
+        out = among(out, repeats, "left_anti").unionByName(once)
     return out.select(*names).toDF(*docs.columns)
