@@ -1,0 +1,180 @@
+"""The registered queries on the small tables, against SQL or plain Python."""
+
+import hashlib
+import math
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+import brute
+import corpus_pipeline
+from tallyline.llm import queries
+from verification import compare
+
+
+def rows(spark, sf_dir, name):
+    found = queries.QUERIES[name](spark, sf_dir).collect()
+    return {row.doc_id: row for row in found}, len(found)
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_sql(spark, sf_dir, name, monkeypatch):
+    monkeypatch.setitem(compare.QUERIES, name, queries.QUERIES[name])
+    monkeypatch.setitem(compare.ORACLES, name, queries.ORACLES[name])
+    assert compare.compare(spark, compare.connect(sf_dir), sf_dir, name)[1] is None
+
+
+def test_op1(spark, sf_dir, texts):
+    found, n = rows(spark, sf_dir, "op1_lm_scoring")
+    assert n == len(found) == len(texts)
+    expected = brute.base_scores(texts, lambda i: brute.remainder(i, 10) == 0)
+    for i, row in found.items():
+        tokens, known, total, base = expected[i]
+        assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens) == (brute.remainder(i, 10) == 0, tokens, known, total)
+        assert row.base_score == pytest.approx(base, rel=1e-9)
+        assert -math.inf < row.score < 0
+
+
+def test_op1_beats_word_counts_on_held_out_texts(spark):
+    """On a corpus in which most words are known; word counts give every unknown word the same share, however many there are."""
+    held = queries.QUERIES["op1_lm_scoring"](spark, "/root/testdata/sf0.1").filter("held_out").collect()
+    assert sum(r.score for r in held) > 0.95 * sum(r.base_score for r in held)
+    assert sum(r.score > r.base_score for r in held) > 0.85 * len(held)
+    assert sum(r.bits_per_byte * r.n_bytes for r in held if r.n_bytes) < 2.5 * sum(r.n_bytes for r in held)
+
+
+def test_op2(spark, sf_dir, texts):
+    found, n = rows(spark, sf_dir, "op2_line_dedup")
+    assert n == len(found) == len(texts)
+    gone, _ = brute.removed_lines(texts)
+    assert sum(map(len, gone.values())) > 50
+    for i, row in found.items():
+        assert (row.n_removed, row.text) == (len(gone[i]), brute.without_lines(texts[i], gone[i]))
+
+
+def test_op3(spark, sf_dir, texts):
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    expected, lengths = set(), []
+    for i, text in texts.items():
+        ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids + [2], "<u4")
+        cut = (len(ids) - 1) % 1024 + 1
+        bounds = [0, *range(cut, len(ids) + 1, 1024)]
+        for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            expected.add((i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+            lengths.append(b - a)
+    found = queries.QUERIES["op3_best_fit_packing"](spark, sf_dir).collect()
+    assert len(found) == len(expected)
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found} == expected
+    filled = {}
+    for r in sorted(found, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled.get(r.sequence_id, 0)
+        filled[r.sequence_id] = r.offset + r.length
+    assert max(filled.values()) <= 1024
+    assert -(-sum(lengths) // 1024) <= len(filled) <= brute.best_fit(lengths, 1024)
+
+
+def test_op4(spark, sf_dir, texts):
+    found, n = rows(spark, sf_dir, "op4_near_dedup")
+    assert n == len(found) == len(texts)
+    components, sizes = brute.near_components(texts, 3, 85)
+    assert len(set(components.values())) < len(texts)
+    for i, row in found.items():
+        assert (row.n_shingles, row.component_id, row.kept) == (sizes[i], components[i], components[i] == i)
+
+
+def test_op7(spark, sf_dir, texts):
+    found, n = rows(spark, sf_dir, "op7_pii")
+    assert n == len(found) == len(texts)
+    for i, row in found.items():
+        spans = brute.plain_pii(texts[i])
+        assert row.base_sha256 == brute.digest(spans)
+        assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(s[0] == k for s in spans) for k in ("email", "ip", "card", "phone")]
+        assert set(f"{k}:{a}:{b}" for k, a, b in spans) <= set(row.spans.split(",")) | {""}
+
+
+def test_op8(spark, sf_dir, texts):
+    found, n = rows(spark, sf_dir, "op8_secrets")
+    assert n == len(found) == len(texts)
+    for i, row in found.items():
+        spans = brute.strong_secrets(texts[i])
+        assert row.base_sha256 == brute.digest(spans)
+        assert [row.n_assign, row.n_access, row.n_hex] == [sum(s[0] == k for s in spans) for k in ("assign", "access", "hex")]
+
+
+def test_op9(spark, sf_dir, texts):
+    found, n = rows(spark, sf_dir, "op9_quality_rules")
+    assert n == len(found) == len(texts)
+    for i, row in found.items():
+        m = brute.rule_measures(texts[i])
+        assert {k: row[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")} == {
+            k: m[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+        }
+        assert row.base_failed == (m["n_words"] < 50 or 100 * m["n_repeat_words"] > 50 * m["n_words"])
+        assert not (row.kept and row.base_failed)
+
+
+def test_op10(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    found, n = rows(spark, sf_dir, "op10_quality_classifier")
+    labels = duckdb.sql(f"select doc_id, quality from '{sf_dir}/labels.parquet'").fetchall()
+    assert n == len(found) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in found.values())
+    held = [(found[i], q) for i, q in labels if i in found and found[i].held_out]
+    assert all(r.held_out == (brute.remainder(i, 4) == 2) for i, r in found.items())
+    assert sum(r.predicted == q for r, q in held) >= 0.95 * len(held)
+
+
+def test_pipeline(spark, sf_dir, texts, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    about = {r.doc_id: r for r in docs.collect()}
+    now = dict(texts)
+    kept = None
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf_dir).write.parquet(str(tmp_path / name))
+        before, docs = docs, spark.read.parquet(str(tmp_path / name))
+        found = docs.collect()
+        if name != "packing":
+            assert docs.schema == before.schema
+            assert len(found) == len({r.doc_id for r in found})
+            kept = {r.doc_id: r.text for r in found}
+        if name == "quality_rules":
+            rejects = {i for i, t in now.items() if _rejected(brute.rule_measures(t))}
+            now = {i: t for i, t in now.items() if i not in rejects}
+            assert rejects
+        elif name == "line_dedup":
+            gone, counted = brute.removed_lines(now)
+            now = {i: brute.without_lines(t, gone[i]) for i, t in now.items() if not gone[i] or gone[i] != counted[i]}
+            assert all(r.n_chars == len(r.text) for r in found)
+        elif name == "near_dedup":
+            components, _ = brute.near_components(now, 5, 80)
+            now = {i: t for i, t in now.items() if components[i] == i}
+        elif name == "mixing":
+            def path(i):
+                source = about[i].source
+                return (f"d{int(''.join(c for c in source if c.isdigit())) % 3}", about[i].lang, source)
+
+            shares = brute.mixed([(i, path(i), t) for i, t in now.items()], corpus_pipeline.BUDGET_SHARE, {}, 1, corpus_pipeline.SEED)
+            reached = {i for i, _, n, _, full, last in shares if n == 0 or full or last}
+            now = {i: t for i, t in now.items() if i in reached}
+        else:
+            assert {r.doc_id for r in found} == set(now)
+            assert sum(r.length for r in found if r.doc_id is not None) > 0
+            break
+        assert kept == now, name
+
+
+def _rejected(m):
+    return (
+        m["n_words"] == 0 or 100 * m["n_repeat_words"] > 50 * m["n_words"] or 10 * m["n_symbols"] > 3 * m["n_words"]
+        or (m["n_lines"] >= 4 and 10 * m["n_dup_lines"] > 6 * m["n_lines"]) or m["word_chars"] < 2 * m["n_words"]
+        or m["word_chars"] > 20 * m["n_words"] or 10 * m["n_letters"] < 3 * m["word_chars"]
+    )
+
+
+def test_sha_of_nothing():
+    assert brute.digest([]) == hashlib.sha256(b"").hexdigest()
