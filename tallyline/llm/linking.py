@@ -66,9 +66,9 @@ def link_buckets(
 
     Keys of two nodes give their pair at once. Of a key of more the best
     connected node is the pivot. First each node is compared with the best
-    connected pivot among those of its keys, then those that this
-    leaves outside a pivot's component with that pivot; what is linked so far is
-    put in components each time. Then, key by key, the nodes outside the pivot's component
+    connected pivot among those of its keys, then (without
+    ``sharpen``) those that this leaves outside a pivot's component with that
+    pivot; what is linked so far is put in components each time. Then, key by key, the nodes outside the pivot's component
     are compared with the nodes of other components; for these keys
     ``sharpen`` may give further marks, from (node) of all nodes that have one
     of them, for ``nearer`` to rule pairs out. A pair that shares several such
@@ -120,15 +120,16 @@ def link_buckets(
     outside = beyond()
     if outside.isEmpty():
         return groups
-    pairs = outside.select("a", F.col("pivot").alias("b")).distinct().join(side(about, "a"), "a").join(side(about, "b"), "b").filter(may_link)
-    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    more = stored(verify(pairs), "links")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        groups = shared(connected_components(links))
-        outside = beyond()
-        if outside.isEmpty():
-            return groups
+    if not sharpen:
+        pairs = outside.select("a", F.col("pivot").alias("b")).distinct().join(side(about, "a"), "a").join(side(about, "b"), "b").filter(may_link)
+        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        more = stored(verify(pairs), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            groups = shared(connected_components(links))
+            outside = beyond()
+            if outside.isEmpty():
+                return groups
     placed = stored(grouped(rows.select("node", "at", "key"), "node", "component"), "placed")
     open_ = stored(outside.select("key").distinct(), "open")
     rest = placed.join(broadcast_if_small(open_), "key", "left_semi")
