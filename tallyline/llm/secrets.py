@@ -5,7 +5,8 @@ Strong candidates are reported by themselves: assignments to a name such as
 account name, a word that looks random, a host) are parts of a credential; an
 identifier, a secret and an endpoint that lie within one scope are linked, and
 weak parts are reported only if at least an identifier and a secret, or a
-secret and an endpoint, occur together. A scope is a paragraph, and within it
+secret and an endpoint, occur together. Parts may be of any length; a random
+word of 8 to 15 characters is a part only beside an identifier or endpoint. A scope is a paragraph, and within it
 parts link that are at most ``reach`` characters apart.
 
 Linking is an interval join within a text: places of the parts in order, looked
@@ -30,14 +31,16 @@ _NAME = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
 _VALUE = re.compile(r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?|tenant)["']?\x20{0,2}[:=]\x20{0,2}["']?([A-Za-z0-9@+/_.-]{3,64})""", re.I)
-_ENDPOINT = re.compile(r"""(?:[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._~:@/-]{4,200}|(?<![A-Za-z0-9])(?:host|endpoint|server|url)["']?\x20{0,2}[:=]\x20{0,2}["']?([A-Za-z0-9._:/-]{4,200}))""")
-_MATERIAL = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,128}={0,2}(?![A-Za-z0-9+/_=-])")
+_IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?|tenant)["']?\x20{0,2}[:=]\x20{0,2}["']?([A-Za-z0-9@+/_.-]{3,})""", re.I)
+_ENDPOINT = re.compile(r"""(?:[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._~:@/-]{4,}|(?<![A-Za-z0-9])(?:host|endpoint|server|url)["']?\x20{0,2}[:=]\x20{0,2}["']?([A-Za-z0-9._:/-]{4,}))""", re.I | re.A)
+_MATERIAL = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{8,}={0,2}(?![A-Za-z0-9+/_=-])")
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 
 REACH = 200
-#: Bits per character from which a word of letters and digits looks random.
-RANDOM_BITS = 3.2
+#: Bits per character from which a word of letters and digits looks random, from so many characters on.
+RANDOM_BITS, RANDOM_LENGTH = 3.2, 16
+#: How near an identifier or endpoint has to be for a shorter word to count.
+BESIDE = 40
 
 Span = tuple[str, int, int]
 
@@ -69,7 +72,12 @@ def _looks_random(word: str) -> bool:
     if not (any(map(str.isdigit, word)) and any(map(str.isalpha, word))):
         return False
     counts = [word.count(c) for c in set(word)]
-    return -sum(n / len(word) * log2(n / len(word)) for n in counts) >= RANDOM_BITS
+    bits = -sum(n / len(word) * log2(n / len(word)) for n in counts)
+    if len(word) >= RANDOM_LENGTH:
+        return bits >= RANDOM_BITS
+    # Fewer characters hold fewer bits; a plain word with a number behind it changes once.
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" for c in word if c.isalnum()]
+    return bits >= RANDOM_BITS * log2(len(word)) / log2(RANDOM_LENGTH) and sum(x != y for x, y in zip(kinds, kinds[1:])) > 1
 
 
 def _near(starts: list[int], ends: list[int], low: int, high: int) -> bool:
@@ -88,16 +96,23 @@ def find_linked(text: str, strong: list[Span], reach: int = REACH) -> list[Span]
     begins, tops, top = [a for a, _ in taken], [], 0
     for _, b in taken:
         tops.append(top := max(top, b))
-    material = []
-    for m in _MATERIAL.finditer(text):
-        k = bisect_left(begins, m.end())
-        if not (k and tops[k - 1] > m.start()) and _looks_random(m[0]):
-            material.append(("material", *m.span()))
     breaks = [m.start() for m in _PARAGRAPH.finditer(text)]
 
     def places(parts: list[Span]) -> tuple[list[int], list[int]]:
         return sorted(a for _, a, _ in parts), sorted(b for _, _, b in parts)
 
+    def around(a: int, b: int, most: int) -> tuple[int, int]:
+        """What lies within a part's paragraph and at most so far from it."""
+        k = bisect_right(breaks, a)
+        return max(a - most, breaks[k - 1] if k else 0), min(b + most, breaks[k] if k < len(breaks) else len(text))
+
+    company, material = places(identifiers + access + endpoints), []
+    for m in _MATERIAL.finditer(text):
+        k = bisect_left(begins, m.end())
+        if k and tops[k - 1] > m.start():
+            continue
+        if (m.end() - m.start() >= RANDOM_LENGTH or _near(*company, *around(*m.span(), BESIDE))) and _looks_random(m[0]):
+            material.append(("material", *m.span()))
     has = {
         "identifier": places(identifiers + access),
         "material": places(material + [s for s in strong if s[0] != "access"]),
@@ -106,10 +121,7 @@ def find_linked(text: str, strong: list[Span], reach: int = REACH) -> list[Span]
     needs = {"identifier": ("material",), "material": ("identifier", "endpoint"), "endpoint": ("material",)}
     out = []
     for kind, a, b in identifiers + material + endpoints:
-        k = bisect_right(breaks, a)
-        low = max(a - reach, breaks[k - 1] if k else 0)
-        high = min(b + reach, breaks[k] if k < len(breaks) else len(text))
-        if any(_near(*has[other], low, high) for other in needs[kind]):
+        if any(_near(*has[other], *around(a, b, reach)) for other in needs[kind]):
             out.append((kind, a, b))
     return out
 

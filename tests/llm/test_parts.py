@@ -107,6 +107,28 @@ def test_weak_parts_need_company():
     assert secrets.find_linked(far, secrets.find_strong(far)) == []
 
 
+def test_weak_parts_of_any_length_and_case():
+    key = "9fK2mQ7xL4vB8nR1" * 13
+    name, path = "jane." + "doe" * 40, "db.example.org/" + "part/" * 60 + "end"
+    text = f"USER = {name}\nthen {key}\nHost: {path}"
+    found = {(k, text[a:b]) for k, a, b in secrets.find_linked(text, secrets.find_strong(text))}
+    assert found == {("identifier", name), ("material", key), ("endpoint", path)}
+    text = f"then {key} at HTTPS://{path}"
+    found = {(k, text[a:b]) for k, a, b in secrets.find_linked(text, secrets.find_strong(text))}
+    assert found == {("material", key), ("endpoint", f"HTTPS://{path}")}
+    text = "user: jane 9fK2mQ7x URL=db.example.org"
+    found = {(k, text[a:b]) for k, a, b in secrets.find_linked(text, secrets.find_strong(text))}
+    assert found == {("identifier", "jane"), ("material", "9fK2mQ7x"), ("endpoint", "db.example.org")}
+    for text in (f"user: jane {'x ' * 30}9fK2mQ7x", "user: jane has version10 of covid-19", "user: jane\n\n9fK2mQ7x"):
+        assert secrets.find_linked(text, secrets.find_strong(text)) == []
+
+
+def test_long_weak_parts_take_little_time():
+    for word in ("a1" * 250_000, "a1=" * 100_000, "a1" * 250_000 + "===", "a1b2c3d4 " * 50_000, "http://aaaa" * 50_000, "a+" * 250_000):
+        text = f"user=jane {word} host=db.example"
+        secrets.find_linked(text, secrets.find_strong(text))
+
+
 def test_registers_merge_and_tell_similarity():
     rng = np.random.default_rng(5)
     pool = rng.integers(0, 2**64, 3000, dtype=np.uint64)
