@@ -88,15 +88,19 @@ _IP_SPELLED = re.compile(rf"(?<![A-Za-z0-9]){_PART}(?: (?:dot|point) {_PART}){{3
 _IP_PIECE = re.compile(rf"[ -]?(?P<digit>{_WORD})| (?:dot|point) ", re.I)
 _PLUS = re.compile(r"(?<![A-Za-z])plus (?=[0-9])", re.I)
 _BRACKET = re.compile(r" {0,2}[(\[{<] {0,2}(at|dot|arroba|punto|point|punkt) {0,2}[)\]}>] {0,2}", re.I)
-# Words alone count only together: name AT host DOT ending.
+# The word at counts only together with a dot that is disguised too: name AT host DOT ending.
 _PLAIN_AT = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}( at )[A-Za-z0-9-]{1,63}((?: dot [A-Za-z0-9-]{1,63})+)(?![A-Za-z0-9-])", re.I
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}( at )[A-Za-z0-9-]{1,63}((?:(?: dot |\.)[A-Za-z0-9-]{1,63})+)(?![A-Za-z0-9-])", re.I
 )
+_AT_HOST = re.compile(r"(?<=[A-Za-z0-9._%+-])@[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)+", re.I)
+_DOT = re.compile(r" dot |\.", re.I)
 _DOT_WORD = re.compile(r" dot ", re.I)
-_IP_WORDS = re.compile(r"(?<![0-9.])[0-9]{1,3}(?: dot [0-9]{1,3}){3}(?![0-9])", re.I)
+_IP_WORDS = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?: dot |\.)[0-9]{1,3}){3}(?![0-9])", re.I)
 _AT_WORDS = {"at": "@", "arroba": "@"}
+# Whatever a rule below rewrites has one of these.
 _HINT = re.compile(
-    rf"[(\[{{<] {{0,2}}(?:at|dot|arroba|punto|point|punkt)|[A-Za-z0-9] dot [A-Za-z0-9]|(?:(?<![A-Za-z])(?:{_WORD})[ -]){{{DIGIT_ROW - 1}}}", re.I
+    rf"[(\[{{<] {{0,2}}(?:at|dot|arroba|punto|point|punkt)|[A-Za-z0-9-] dot [A-Za-z0-9-]|(?:(?<![A-Za-z])(?:{_WORD})[ -]){{{DIGIT_ROW - 1}}}"
+    rf"|(?:{_WORD}) (?:dot|point) (?:{_WORD})|(?<![A-Za-z])plus [0-9]", re.I
 )
 
 
@@ -157,11 +161,17 @@ def transduce(text: str) -> Rewritten | None:
                 edits += [(a.start(), b.start() if b else a.end(), DIGIT_WORDS[a[0].lower()]) for a, b in zip(words, [*words[1:], None])]
         out = out.replace(edits)
         out = out.replace([(m.start(), m.end(), _AT_WORDS.get(m[1].lower(), ".")) for m in _BRACKET.finditer(out.text)])
-        edits = []
-        for m in _PLAIN_AT.finditer(out.text):
-            edits.append((*m.span(1), "@"))
-            edits += [(*d.span(), ".") for d in _DOT_WORD.finditer(out.text, *m.span(2))]
+        edits, at = [], 0
+        while m := _PLAIN_AT.search(out.text, at):
+            dots = [d.span() for d in _DOT.finditer(out.text, *m.span(2))]
+            # A dot read from brackets or a word stands for more than one character.
+            if any(out.end[b - 1] - out.start[a] > 1 for a, b in dots):
+                edits += [(*m.span(1), "@"), *((a, b, ".") for a, b in dots if b - a > 1)]
+                at = m.end()
+            else:
+                at = m.end(1)
         out = out.replace(edits)
+        out = out.replace([(*d.span(), ".") for m in _AT_HOST.finditer(out.text) for d in _DOT_WORD.finditer(out.text, *m.span())])
         out = out.replace([(*d.span(), ".") for m in _IP_WORDS.finditer(out.text) for d in _DOT_WORD.finditer(out.text, *m.span())])
         out = out.replace([(m.start(), m.end(), "+") for m in _PLUS.finditer(out.text)])
     return None if out.text == text else out

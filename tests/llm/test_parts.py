@@ -64,6 +64,33 @@ def test_hidden_data(text, spans):
     assert [(k, text[a:b]) for k, a, b in found] == spans
 
 
+@pytest.mark.parametrize(
+    "text, spans",
+    [
+        ("mail john [at] example dot com now", [("email", "john [at] example dot com")]),
+        ("mail john@example dot com", [("email", "john@example dot com")]),
+        ("mail john@mail.example dot com", [("email", "john@mail.example dot com")]),
+        ("mail john at example [dot] com", [("email", "john at example [dot] com")]),
+        ("mail john at mail.example dot com", [("email", "john at mail.example dot com")]),
+        ("sit at home.me at example dot com", [("email", "home.me at example dot com")]),
+        ("call plus 44 20 7946 0958", [("phone", "plus 44 20 7946 0958")]),
+        ("host one point two point three point four", [("ip", "one point two point three point four")]),
+        ("host 10.0 dot 0 [dot] 255 here", [("ip", "10.0 dot 0 [dot] 255")]),
+        ("look at example.com and at home.", []),
+        ("one point two plus 3", []),
+    ],
+)
+def test_mixed_disguises(text, spans):
+    found = pii.find_hidden(text, pii.find_plain(text))
+    assert [(k, text[a:b]) for k, a, b in found] == spans
+
+
+def test_long_mixed_disguises_take_little_time():
+    for text in ("a at a.b " * 60_000, "a at b" + ".c" * 250_000, "a@b" + " dot c" * 80_000, "a@b.c" * 100_000 + " dot d", "1 dot 2." * 60_000, "plus 1 " * 70_000, "one point two " * 30_000):
+        plain = pii.find_plain(text)
+        pii.find_hidden(text, plain)
+
+
 PII = st.text(st.sampled_from("a.@-+ 10425(9)а"), max_size=60)
 
 
