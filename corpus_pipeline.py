@@ -7,7 +7,7 @@ tables and further columns are handled as the operators' modules state.
 
 * ``quality_rules`` drops documents that the rules reject; short texts pass.
 * ``line_dedup`` takes repeated lines out of the texts, and drops documents
-  that lose all their lines of five or more words.
+  that lose lines and keep none with a word.
 * ``near_dedup`` keeps one document of each group linked at five words, 80 %.
 * ``mixing`` shares 95 % of the tokens over domains, languages and sources of
   equal weight, and drops documents that the budget does not reach.

@@ -197,13 +197,11 @@ def drop_repeated_lines(
 ) -> DataFrame:
     """``docs`` with the repeated lines taken out of the texts, and ``n_removed``.
 
-    ``drop_empty`` leaves out documents that lost all their lines of enough
-    words, which are copies of other documents line by line.
+    ``drop_empty`` leaves out documents that lost lines and keep none with a
+    word; what is their own in shorter lines keeps the others.
     """
     lines = line_groups(docs, min_words, percent, distance, id_column, text_column)
-    per_text = lines.groupBy("doc_id", "text_hash").agg(
-        F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("pos")))).alias("gone"), (~F.bool_or(~F.col("removed"))).alias("emptied")
-    )
+    per_text = lines.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("pos")))).alias("gone"))
     per_text = broadcast_if_small(stored(per_text.filter(F.size("gone") > 0), "gone"))
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
@@ -212,8 +210,8 @@ def drop_repeated_lines(
     plain = plain.withColumn("__hash", F.xxhash64(F.coalesce(text, F.lit(""))))
     same = plain[id_name].eqNullSafe(per_text["doc_id"]) & (plain["__hash"] == per_text["text_hash"])
     out = plain.join(per_text, same, "left")
-    if drop_empty:
-        out = out.filter(~F.coalesce("emptied", F.lit(False)))
     new = F.when(F.col("gone").isNotNull(), _without(text, F.col("gone"))).otherwise(text)
+    if drop_empty:
+        out = out.filter(F.col("gone").isNull() | new.rlike(r"[\p{L}\p{N}]"))
     shown = [new.alias(c) if name == text_name else F.col(name).alias(c) for name, c in zip(names, docs.columns)]
     return out.select(*shown, F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))

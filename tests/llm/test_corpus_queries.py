@@ -168,6 +168,21 @@ def test_pipeline(spark, sf_dir, texts, tmp_path):
         assert kept == now, name
 
 
+def test_pipeline_keeps_documents_with_lines_of_their_own(spark, sf_dir, tmp_path):
+    docs, kept = spark.read.parquet(f"{sf_dir}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        stage(spark, docs, sf_dir).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept[name] = {r.doc_id: r.text for r in docs.collect()}
+    gone, counted = brute.removed_lines(kept["quality_rules"])
+    now = {i: brute.without_lines(t, gone[i]) for i, t in kept["quality_rules"].items()}
+    assert any(gone[i] and gone[i] == counted[i] and brute.normal_line(t) for i, t in now.items())
+    now = {i: t for i, t in now.items() if not gone[i] or brute.normal_line(t)}
+    assert kept["line_dedup"] == now
+    components, _ = brute.near_components(now, 5, 80)
+    assert kept["near_dedup"] == {i: t for i, t in now.items() if components[i] == i}
+
+
 def _rejected(m):
     return (
         m["n_words"] == 0 or 100 * m["n_repeat_words"] > 50 * m["n_words"] or 10 * m["n_symbols"] > 3 * m["n_words"]

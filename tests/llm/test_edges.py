@@ -81,6 +81,14 @@ def test_lines(odd, none, plain):
     assert not {7, 13} & {r.doc_id for r in left} and {1, 2, 4, 6, 8, 9} <= {r.doc_id for r in left}
 
 
+def test_documents_keep_their_own_short_lines(spark):
+    shared_line = "this license line is in every document here"
+    texts = {1: shared_line, 2: f"{shared_line}\nmy own title\n\n- a list", 3: f"{shared_line}\n --- \n", 4: "---", 5: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    left = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.drop_repeated_lines(docs, drop_empty=True).collect()}
+    assert left == {1: (shared_line, 0), 2: ("my own title\n\n- a list", 1), 4: ("---", 0), 5: ("", 0)}
+
+
 def test_blocks_find_every_near_hash(spark):
     near = [0b111 << 20, (1 << 59) | 1 | (1 << 30), 0]
     for m in (5, 6, 7):
