@@ -5,7 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyline.llm.conversation_trie import prefix_trie
 from tallyline.llm.exact_dedup import exact_groups
+from tallyline.llm.lexical_search import search
 from tallyline.llm.line_dedup import drop_repeated_lines
 from tallyline.llm.lm_scoring import score_texts
 from tallyline.llm.mixing import mix
@@ -15,7 +17,8 @@ from tallyline.llm.pii import KINDS, find_pii
 from tallyline.llm.quality_classifier import STATISTICS, document_statistics, fit, score
 from tallyline.llm.quality_rules import FULL_POLICY, apply_policy, ledger
 from tallyline.llm.secrets import STRONG, find_secrets
-from tallyline.session import shared
+from tallyline.llm.warc import read_records, write_bundles
+from tallyline.session import scratch_path, shared
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -145,6 +148,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written to the shared folder, then read back."""
+    path = scratch_path(spark, "warc")
+    write_bundles(_table(spark, sf_dir, "pages"), path)
+    return read_records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_line_dedup": op2_line_dedup,
@@ -156,6 +174,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_warc": op13_warc,
 }
 
 
@@ -216,7 +237,99 @@ _MIX_SQL = f"""
     from placed
 """
 
+_SEARCH_SQL = """
+    with d as (
+        select row_number() over () as r, doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as ts
+        from documents
+    ),
+    facts as (select count(*) filter (len(ts) > 0) as n, sum(len(ts))::bigint as l from d),
+    tf as (select r, t, count(*) as tf from (select r, unnest(ts) as t from d) group by all),
+    w as (select t, floor(1000 * ln((2 * n + 2)::double / (2 * count(*) + 1)))::bigint as w from tf cross join facts group by t, n),
+    asked as (
+        select item_id, t, count(*) as times from (
+            select item_id, unnest(regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as t
+            from benchmark
+        ) group by all
+    ),
+    scored as (
+        select item_id, r, doc_id,
+               sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(ts) * n) // l))))::bigint as score
+        from asked join tf using (t) join w using (t) join d using (r) cross join facts group by all
+    )
+    select item_id, row_number() over (partition by item_id order by score desc, doc_id nulls last)::int as rank, doc_id, score
+    from scored where score > 0 qualify rank <= 20
+"""
+
+_TRIE_SQL = """
+    with own as (
+        select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, s) as j, s, bytes
+        from (
+            select *, strlen(coalesce(text, '')) as bytes,
+                   sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as s
+            from conversations where conv_id is not null
+        )
+    ),
+    conv as (
+        -- crc32 of the digits: -1 stands for one step of a bit.
+        select c, count(*) as n, list_reduce(
+            list_prepend(4294967295, flatten(list_transform(string_split(c::varchar, ''), lambda d: [ascii(d), -1, -1, -1, -1, -1, -1, -1, -1])))::bigint[],
+            lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, (a & 1) * 3988292384) end) as crc
+        from own group by c
+    ),
+    plan as (
+        select a.c, a.c - a.c % 5 as base, xor(a.crc, 4294967295) % 9 as h, least(xor(a.crc, 4294967295) % 9, coalesce(b.n, 0)) as k
+        from conv a left join conv b on b.c = a.c - a.c % 5
+    ),
+    turns as (
+        select p.c, o.j as d, s, bytes from plan p join own o on o.c = p.base and o.j <= p.h
+        union all
+        select p.c, o.j - h + k, s, bytes from plan p join own o on o.c = p.c and o.j > p.h
+    ),
+    rows as (
+        select c, d, sha256(string_agg(s, '' order by d) over (partition by c order by d)) as key, bytes from turns
+        union all
+        select c, 0, '', 0 from plan
+    ),
+    ends as (select c, max(d) as d from rows group by c),
+    nodes as (
+        select d, key, min(r.c) as c, count(*) as n_convs, any_value(bytes) as bytes, count(e.c) as n_ends,
+               sha256(coalesce(string_agg(e.c::varchar, ',' order by e.c), '')) as ends_sha256
+        from rows r left join ends e using (c, d) group by d, key
+    ),
+    sums as (
+        select r.d, r.key, sum((u.n_ends = u.n_convs)::int)::bigint as n_leaves, sum((u.n_convs - 1) * u.bytes)::bigint as saved_tokens
+        from nodes u join rows r on r.c = u.c and r.d <= u.d group by r.d, r.key
+    ),
+    up as (select n.d, n.key, p.key as parent from nodes n join rows p on p.c = n.c and p.d = n.d - 1),
+    kids as (select d - 1 as d, parent as key, count(*) as n_children from up group by d - 1, parent)
+    select n.c as conv_id, n.d as depth, p.c as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, n_leaves, saved_tokens, n.ends_sha256
+    from nodes n join sums using (d, key) left join up using (d, key) left join nodes p on p.key = up.parent and p.d = n.d - 1
+         left join kids on kids.d = n.d and kids.key = n.key
+"""
+
+_WARC_SQL = """
+    with p as (select page_id, coalesce(html, '') as html from pages),
+    seen as (
+        select page_id, strlen(html) as payload_bytes, sha1(html) as hex, min(page_id) over same as least,
+               row_number() over (partition by html order by page_id nulls last) = 1 as leads
+        from p window same as (partition by html)
+    )
+    select page_id, payload_bytes,
+           -- Five hexadecimal digits make four of base 32.
+           array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::bigint >> (15 - 5 * (i % 4))::bigint) & 31)::bigint + 1, 1)), '') as payload_digest,
+           case when leads then 'response' else 'revisit' end as record_type, case when not leads then least end as refers_to
+    from seen
+"""
+
 ORACLES = {
+    "op11_lexical_search": _SEARCH_SQL,
+    "op12_prefix_trie": _TRIE_SQL,
+    "op13_warc": _WARC_SQL,
     "op5_mixing": _MIX_SQL,
     "op6_exact_dedup": """
         with t as (select doc_id, coalesce(text, '') as text from documents)
