@@ -6,6 +6,13 @@ from pyspark.sql import functions as F
 from tallyline.session import broadcast_if_small, shared
 
 IDENTITY = ["archive", "member_no", "member"]
+#: Folders that the keys of stored invoices are spread over.
+KEY_BUCKETS = 256
+
+
+def with_bucket(df: DataFrame, key: str = "order_id") -> DataFrame:
+    """The folder that a key's row lies in, as a column."""
+    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int"))
 
 
 def document_keys(documents: DataFrame) -> DataFrame:
@@ -20,7 +27,8 @@ def find_duplicates(documents: DataFrame, existing: DataFrame, key: str = "order
     Invoices without a stamp share a placeholder key and are never duplicates,
     unless ``literal``. The first document per key is a minimum, so one key
     with very many copies is merged from partial results; every join is by
-    keys that are unique on one side.
+    keys that are unique on one side. If ``existing`` has the ``bucket`` of its
+    keys, only the folders of those that this batch asks for are read.
     """
     usable = documents.filter(F.col("problem").isNull())
     if not literal:
@@ -28,8 +36,11 @@ def find_duplicates(documents: DataFrame, existing: DataFrame, key: str = "order
     ids = usable.select(*IDENTITY, key)
     firsts = shared(ids.groupBy(key).agg(F.min(F.struct(*IDENTITY)).alias("first")))
     # Only stored keys this batch asks for; a small batch is sent to the scan.
-    asked = broadcast_if_small(firsts.select(key))
-    stored = existing.select(key).join(asked, key, "left_semi").distinct()
+    asked, on = firsts.select(key), [key]
+    if "bucket" in existing.columns:
+        # A join whose other side is filtered prunes the folders at run time.
+        asked, on = with_bucket(asked, key).filter("bucket >= 0"), ["bucket", key]
+    stored = existing.select(*on).join(broadcast_if_small(asked), on, "left_semi").select(key).distinct()
     accepted = firsts.join(stored, key, "left_anti").select("first.*")
     return ids.join(accepted, IDENTITY, "left_anti").select(*IDENTITY)
 

@@ -7,6 +7,7 @@ from tallyline.plans.load import (
     store_transactions,
     stored_annotation,
     upload_csv,
+    with_stable_ids,
 )
 from tallyline.plans.reports import (
     charts,

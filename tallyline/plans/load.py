@@ -1,6 +1,6 @@
 """From the sources to the stored canonical table."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,7 +10,10 @@ from tallyline.operators.maintain import id_frame, latest_annotation, upsert_ann
 from tallyline.schema import UPLOAD_REQUIRED
 from tallyline.session import broadcast_if_small, staged
 from tallyline.sources.csv_files import read_transactions_csv
-from tallyline.sources.tables import delete_rows, number_rows, read_invoice_lines, read_table, replace_dataset
+from tallyline.sources.tables import delete_rows, overwrite_folders, read_invoice_lines, read_table, replace_dataset, stored_batches, stored_folders, within_folders
+
+#: Keys below are source ids, keys from here on are made of contents.
+CONTENT_KEYS = 1 << 62
 
 
 def load_transactions(
@@ -30,31 +33,63 @@ def load_transactions(
     return consolidate(csv, xml)
 
 
-def store_transactions(tx: DataFrame, path: str) -> DataFrame:
-    """Keep the canonical table as Parquet by order year and read it back.
+def with_stable_ids(tx: DataFrame) -> DataFrame:
+    """Rows with an id that follows from source and content alone, each its own; staged.
 
-    Rows get new ids, unique over all sources; the id a row has in its source
-    is kept as ``source_id``. The analyses read the table many times; year
-    filters then open only the folders of the years they need.
+    Row n of a source is 2n, of the invoices 2n + 1. Rows without a source id,
+    and all rows that would share an id, get one from their content (large and
+    even): of equal rows the k-th gets the hash of content and k, so a file that
+    is read again gives the same ids, however it is split. Ids are compared in
+    full until none is left twice. ``source_id`` keeps the source's own id.
     """
     own = F.col("row_id") if "row_id" in tx.columns else F.lit(None)
     known = own if "source_id" not in tx.columns else F.coalesce("source_id", own)
-    rows = staged(tx.withColumn("source_id", known.cast("long")).drop("row_id"), "transactions")
-    numbered, _ = number_rows(rows, 1)
-    replace_dataset(numbered, path, ["order_date", "sales", "profit"])
+    tx = tx.withColumn("source_id", known.cast("long")).drop("row_id")
+    content = sorted(tx.columns)
+    is_invoice = (F.col("source") == "xml") if "source" in tx.columns else F.lit(False)
+    direct = F.col("source_id").between(0, (CONTENT_KEYS >> 1) - 1)
+    first = F.when(direct, F.col("source_id") * 2 + F.when(is_invoice, 1).otherwise(0)).otherwise(_content_key(F.xxhash64(*content)))
+    rows, salt = staged(tx.withColumn("row_id", first), "transactions"), 0
+    while not (repeated := staged(rows.groupBy("row_id").count().filter("count > 1").select("row_id"), "repeated-ids")).isEmpty():
+        salt += 1
+        repeated = broadcast_if_small(repeated)
+        placed = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+        again = placed.join(repeated, "row_id", "left_semi").withColumn("_digest", F.sha2(F.to_json(F.struct(*content)), 256))
+        # Copies are counted by file first, so that equal rows are numbered in many tasks.
+        by_file = again.groupBy("_digest", "_file").agg(F.count("*").alias("_n"))
+        before = F.sum("_n").over(Window.partitionBy("_digest").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+        offsets = by_file.select("_digest", "_file", F.coalesce(before, F.lit(0)).alias("_before"))
+        copy = F.row_number().over(Window.partitionBy("_digest", "_file").orderBy("_at"))
+        again = again.withColumn("_copy", copy).join(offsets, ["_digest", "_file"])
+        again = again.withColumn("row_id", _content_key(F.xxhash64("_digest", F.col("_copy") + F.col("_before"), F.lit(salt))))
+        rows = staged(rows.join(repeated, "row_id", "left_anti").unionByName(again.select(*rows.columns)), "transactions")
+    return rows
+
+
+def _content_key(hash_: Column) -> Column:
+    return hash_.bitwiseAND(F.lit(CONTENT_KEYS - 2)).bitwiseOR(F.lit(CONTENT_KEYS))
+
+
+def _rated(rows: DataFrame, rate: str | None) -> DataFrame:
+    """Note beside the column how the invoices' discount rates were taken."""
+    return rows.withColumn("source_id", F.col("source_id").alias("source_id", metadata={"rate": rate}))
+
+
+def store_transactions(tx: DataFrame, path: str, rate: str | None = None) -> DataFrame:
+    """Keep the canonical table as Parquet by source and order year and read it back.
+
+    Rows get the ids of ``with_stable_ids``, the same at every rebuild; the id a
+    row has in its source is kept as ``source_id``. The analyses read the table
+    many times; year filters then open only the folders of the years they need.
+    """
+    rows = _rated(with_stable_ids(tx), rate)
+    by = ["source"] if "source" in rows.columns else []
+    replace_dataset(rows, path, ["order_date", "sales", "profit"], by)
     return read_table(tx.sparkSession, path)
 
 
-def _of_source(spark: SparkSession, path: str, source: str) -> DataFrame | None:
-    """Rows of one source in a stored canonical table, with the ids they have there; None before the first store."""
-    try:
-        rows = read_table(spark, path)
-    except ValueError:
-        return None
-    kept = rows.filter(F.col("source") == source)
-    if "source_id" in kept.columns:
-        kept = kept.drop("row_id").withColumnRenamed("source_id", "row_id")
-    return kept.drop("order_year")
+def _is_stored(spark: SparkSession, path: str) -> bool:
+    return "source" in read_table(spark, path, T.StructType([])).columns
 
 
 def upload_csv(
@@ -68,38 +103,76 @@ def upload_csv(
 ) -> int:
     """Check a new historical file and make it the CSV part of the stored table; rows of all sources.
 
-    Invoices stay: those of the invoice store if it is given, else those that
-    the table holds.
+    Only the folders of the CSV part are written. Invoices stay: those of the
+    invoice store if it is given, else those that the table holds.
     """
     raw = read_transactions_csv(spark, csv_path)
     require_columns(raw, UPLOAD_REQUIRED)
     csv = canonical_csv(raw, date_format, rate_unit)
-    if invoices_path is None:
-        xml = _of_source(spark, path, "xml")
-    else:
-        xml = canonical_invoices(read_invoice_lines(spark, invoices_path), rate)
-    return store_transactions(consolidate(csv, xml), path).count()
+    if not _is_stored(spark, path):
+        xml = None if invoices_path is None else canonical_invoices(read_invoice_lines(spark, invoices_path), rate)
+        return store_transactions(consolidate(csv, xml), path, rate).count()
+    _replace(spark, path, _rated(with_stable_ids(csv), _rate(read_table(spark, path))), "csv")
+    return (read_table(spark, path) if invoices_path is None else refresh_transactions(spark, path, invoices_path, rate)).count()
+
+
+def _replace(spark: SparkSession, path: str, rows: DataFrame, source: str, years: list | None = None) -> None:
+    """Make ``rows`` all there is of a source, or of some of its years."""
+    folders = [f for f in stored_folders(spark, path) if f["source"] == source and (years is None or f["order_year"] in years)]
+    (batch,) = stored_batches(spark, path)
+    rows = rows.withColumns({"order_year": F.year("order_date"), "stored_batch": F.lit(batch.folder)})
+    overwrite_folders(spark, path, rows, folders)
+
+
+def _rate(tx: DataFrame) -> str | None:
+    return tx.schema["source_id"].metadata.get("rate")
+
+
+def _by_year(rows: DataFrame, source_id: str) -> dict:
+    """{year: what tells two sets of ids apart}; reads the id column only."""
+    hashed = F.xxhash64(source_id)
+    found = rows.groupBy("order_year").agg(
+        F.count("*").alias("n"), F.bit_xor(hashed).alias("x"), F.sum(hashed.cast("decimal(20,0)")).alias("s"), F.sum(F.col(source_id).cast("decimal(20,0)")).alias("i")
+    )
+    return {row["order_year"]: (row["n"], row["x"], row["s"], row["i"]) for row in found.collect()}  # a row per year
 
 
 def refresh_transactions(spark: SparkSession, path: str, invoices_path: str, rate: str = "amount") -> DataFrame:
-    """Rebuild the stored table after invoices came in or went: its CSV rows as they are, all stored invoices."""
-    xml = canonical_invoices(read_invoice_lines(spark, invoices_path), rate)
-    return store_transactions(consolidate(_of_source(spark, path, "csv"), xml), path)
+    """Bring the stored table up to the invoices that came in or went.
+
+    Stored invoice lines never change, so a year whose ids are those of the
+    invoice store is left alone; other years are rewritten from the store, as
+    are all if their discount rates were taken in another way. CSV rows stay.
+    """
+    lines = read_invoice_lines(spark, invoices_path)
+    if "order_year" not in lines.columns:
+        lines = lines.withColumn("order_year", F.year("order_date"))
+    if not _is_stored(spark, path):
+        return store_transactions(canonical_invoices(lines.drop("order_year"), rate), path, rate)
+    stored = read_table(spark, path)
+    now, wanted = _by_year(stored.filter("source = 'xml'"), "source_id"), _by_year(lines, "row_id")
+    years = [y for y in now.keys() | wanted.keys() if _rate(stored) != rate or now.get(y) != wanted.get(y)]
+    if years:
+        own = lines.filter(within_folders([{"order_year": y} for y in years])).drop("order_year")
+        _replace(spark, path, _rated(with_stable_ids(canonical_invoices(own, rate)), rate), "xml", years)
+    return read_table(spark, path)
 
 
 def delete_selected(spark: SparkSession, path: str, ids, invoices_path: str) -> int:
     """Delete the invoice lines among the selected rows of the stored table; how many there were.
 
-    Rows of the historical file stay. The lines go from the invoice store and
-    the table is rebuilt.
+    Rows of the historical file stay. The lines go from the invoice store, and
+    the years that held them are rewritten in both. Ids outlive refreshes, so a
+    selection made before one deletes the same lines after it.
     """
     wanted = broadcast_if_small(id_frame(spark, ids))
-    lines = read_table(spark, path).filter("source = 'xml'").join(wanted, "row_id", "left_semi")
+    stored = read_table(spark, path)
+    lines = stored.filter("source = 'xml'").join(wanted, "row_id", "left_semi")
     lines = staged(lines.select(F.col("source_id").alias("row_id")), "selected")
     if lines.isEmpty():
         return 0
     count = delete_rows(spark, invoices_path, lines)
-    refresh_transactions(spark, path, invoices_path)
+    refresh_transactions(spark, path, invoices_path, _rate(stored) or "amount")
     return count
 
 

@@ -12,6 +12,7 @@ from tallyline.sources.invoices import (
 from tallyline.sources.tables import (
     append_invoice_lines,
     delete_rows,
+    read_invoice_keys,
     read_invoice_lines,
     read_table,
     replace_dataset,

@@ -1,101 +1,138 @@
-"""Stored tables: Parquet parts plus a small commit log.
-
-A table folder holds parts written once and ``log``, a folder per commit with
-the list of all parts that count from then on. A part counts only after the
-commit that lists it, so readers see a batch whole or not at all, read one log
-folder however many batches there were, and nothing is overwritten while it is
-read. Deleting rows adds their ids as a part; ``replace_dataset`` lists its own
-part only and with it drops all earlier ones from view.
-
-A commit's folder is created once: of two writers that started from the same
-state the later one fails and its rows do not count.
+"""Stored tables: plain Parquet folders, by version, batch and order year.
+
+``<table>/version=<n>/stored_batch=<b>/order_year=<y>/``: a batch is written into a
+hidden folder, its rows are counted while they are written, and only if all are
+there the folder gets its name. The newest version with a batch counts, so
+readers see a batch, and a replaced dataset, whole or not at all. A batch's name
+tells its number, the last row id so far, whether its invoice keys are stored
+too, and what the writer called it; so one listing tells all there is to know.
+
+Deleting and rebuilding rewrite the year folders that change and no others, by
+Spark's dynamic partition overwrite. Each table has one writer at a time: a
+second one is refused if it finds its batch number taken, and a reader that
+meets a rewrite may have to read again.
 """
 
 import json
 import re
 import uuid
+from functools import reduce
 from typing import NamedTuple
+from urllib.parse import quote
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyline.operators.checks import require_columns
+from tallyline.operators.duplicates import with_bucket
 from tallyline.operators.maintain import id_frame
 from tallyline.schema import INVOICE_LINES
-from tallyline.session import broadcast_if_small, shared
+from tallyline.session import broadcast_if_small, shared, staged
 
-LOG_SCHEMA = (
-    "seq long, kind string, part string, batch string, rows long, last_row_id long, first_date string, last_date string, columns string"
-)
+#: How Spark names the folder of a missing year.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
 
-class Commits(NamedTuple):
-    """The newest commit's number and the parts it lists, oldest first."""
-
+class Batch(NamedTuple):
+    folder: str
     number: int
-    parts: list
+    last_row_id: int
+    keyed: bool
+    name: str
+
+
+class State(NamedTuple):
+    """The version that counts (0 before the first write) and its batches, oldest first."""
+
+    version: int
+    batches: list
 
     def last_row_id(self) -> int:
-        return max((p.last_row_id or 0 for p in self.parts), default=0)
+        return max((b.last_row_id for b in self.batches), default=0)
 
 
-def _log(spark: SparkSession, path: str) -> Commits:
-    """The state after the newest commit: one row per part."""
-    try:
-        log = spark.read.schema(f"{LOG_SCHEMA}, number long").parquet(f"{path}/log")
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return Commits(0, [])
-        raise
-    numbers = [int(re.search(r"/number=([0-9]+)/", file)[1]) for file in log.inputFiles()]  # one small file per commit
-    if not numbers:
-        return Commits(0, [])
-    newest = max(numbers)
-    return Commits(newest, log.filter(F.col("number") == newest).drop("number").orderBy("seq").collect())
-
-
-def _commit(spark: SparkSession, path: str, before: Commits, rows: list[tuple], replace: bool = False) -> None:
-    """List the new parts behind those of the state they were made from."""
-    kept = [] if replace else [tuple(p)[1:] for p in before.parts]
-    listed = [(i, *row) for i, row in enumerate([*kept, *rows])]
-    target = f"{path}/log/number={before.number + 1}"
-    try:
-        spark.createDataFrame(listed, LOG_SCHEMA).coalesce(1).write.mode("error").parquet(target)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_ALREADY_EXISTS":
-            raise RuntimeError(f"another writer has changed {path} meanwhile; nothing was stored") from error
-        raise
+def _files(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) as Spark's own writers see them."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Current rows: all committed parts without the deleted ids.
+def _listed(spark: SparkSession, pattern: str) -> list[str]:
+    fs, target = _files(spark, pattern)
+    return [status.getPath().toString() for status in fs.globStatus(target) or []]
 
-    The log knows the columns of every part, so no file is opened to plan.
-    ``schema`` is what a table without any commit reads as.
-    """
-    commits = _log(spark, path).parts
-    stored = [c for c in commits if c.kind == "rows"]
-    if not stored:
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, target = _files(spark, path)
+    fs.delete(target, True)
+
+
+def _quoted(name: str | None) -> str:
+    return quote(name or "", safe="").replace("%", "~")
+
+
+def _state(spark: SparkSession, path: str) -> State:
+    found = {}
+    for done in _listed(spark, f"{path}/version=*/stored_batch=*/_SUCCESS"):
+        version, batch = re.search(r"/version=(\d+)/stored_batch=([^/]+)/_SUCCESS$", done).groups()
+        number, last, keyed, name = re.fullmatch(r"b(\d+)-(\d+)-([ku])-(.*)", batch).groups()
+        found.setdefault(int(version), []).append(Batch(batch, int(number), int(last), keyed == "k", name))
+    version = max(found, default=0)
+    return State(version, sorted(found.get(version, []), key=lambda b: b.number))
+
+
+def stored_batches(spark: SparkSession, path: str) -> list[Batch]:
+    """What has been stored, oldest first."""
+    return _state(spark, path).batches
+
+
+def _root(path: str, version: int) -> str:
+    return f"{path}/version={version}"
+
+
+# Columns -------------------------------------------------------------------------
+
+
+def _columns(spark: SparkSession, path: str, version: int) -> tuple[T.StructType, list[str]]:
+    """(columns, those that name folders) of a version: what the newest of its notes says."""
+    notes = sorted(_listed(spark, f"{path}/columns/v{version}-*/_SUCCESS"), key=lambda n: int(re.search(r"-(\d+)/_SUCCESS$", n)[1]))
+    if not notes:
+        return T.StructType([]), []
+    note = json.loads(spark.read.text(notes[-1].removesuffix("/_SUCCESS")).first().value)
+    return T.StructType.fromJson(note["columns"]), note["by"]
+
+
+def _note_columns(spark: SparkSession, path: str, version: int, rows: DataFrame, by: list[str]) -> None:
+    """Note the columns of new rows beside those known, before the rows are there."""
+    known, _ = _columns(spark, path, version)
+    fields = {f.name: f for f in known.fields} | {f.name: f for f in rows.schema.fields}
+    columns = T.StructType(list(fields.values()))
+    if columns != known:
+        number = len(_listed(spark, f"{path}/columns/v{version}-*"))
+        note = json.dumps({"columns": columns.jsonValue(), "by": by})
+        spark.createDataFrame([(note,)], "value string").coalesce(1).write.text(f"{path}/columns/v{version}-{number}")
+
+
+def _rows(spark: SparkSession, path: str, state: State, batches: list | None = None) -> DataFrame:
+    """Rows of some batches with the batch they lie in; no file is opened to plan."""
+    columns, by = _columns(spark, path, state.version)
+    own = [f for f in columns.fields if f.name not in by]
+    folders = [T.StructField("stored_batch", T.StringType()), *[columns[name] for name in by]]
+    root = _root(path, state.version)
+    chosen = [f"{root}/stored_batch={b.folder}" for b in (state.batches if batches is None else batches)]
+    return spark.read.option("basePath", root).schema(T.StructType([*own, *folders])).parquet(*chosen)
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Current rows. ``schema`` is what a table without any batch reads as."""
+    state = _state(spark, path)
+    if not state.version:
         if schema is None:
             raise ValueError(f"no data has been stored in {path}")
         return spark.createDataFrame([], schema)
-    fields = {}
-    for commit in stored:
-        for field in T.StructType.fromJson(json.loads(commit.columns)).fields:
-            fields.setdefault(field.name, field)
-    columns = T.StructType(list(fields.values()))
-    parts = [f"{path}/{c.part}" for c in stored if c.rows]
-    if not parts:
-        return spark.createDataFrame([], columns)
-    # One reader over all parts: pruning and pushdown work as on one folder.
-    rows = spark.read.option("basePath", path).schema(columns).parquet(*parts).drop("part")
-    deleted = [f"{path}/{c.part}" for c in commits if c.kind == "deleted"]
-    if deleted:
-        gone = spark.read.schema("row_id long").parquet(*deleted)
-        rows = rows.join(broadcast_if_small(gone), "row_id", "left_anti")
-    return rows
+    return _rows(spark, path, state).drop("stored_batch")
 
 
 def read_invoice_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -115,13 +152,26 @@ def read_jdbc_lines(spark: SparkSession, url: str, table: str, bounds: tuple, pa
     )
 
 
-def number_rows(df: DataFrame, start: int, name: str = "row_id") -> tuple:
+def stored_last_year(spark: SparkSession, path: str) -> int | None:
+    """Year of the newest stored order, from the names of the folders alone.
+
+    Analyses that take a ``year`` then prune files while they are planned.
+    """
+    return max((f["order_year"] for f in stored_folders(spark, path) if f.get("order_year")), default=None)
+
+
+# Writing -------------------------------------------------------------------------
+
+
+def number_rows(df: DataFrame, start: int, name: str = "row_id", fixed: bool = False) -> tuple:
     """(rows with consecutive ids from ``start``, how many), no row in one task.
 
-    ``df`` must give the same partitions each time: a ``shared`` frame, or one
-    made from it without a shuffle. Rows are counted per partition first, then
-    each partition numbers its own.
+    Rows are counted per partition first, then each partition numbers its own.
+    Both passes must see the same partitions, so ``df`` is kept in the shared
+    folder first unless it is ``fixed``: a ``shared`` frame, or made from one
+    without a shuffle.
     """
+    df = df if fixed else shared(df)
     spark = df.sparkSession
     placed = df.withColumn("_at", F.monotonically_increasing_id())
     partition = F.shiftrightunsigned("_at", 33)
@@ -140,89 +190,195 @@ def number_rows(df: DataFrame, start: int, name: str = "row_id") -> tuple:
     return numbered, following - start
 
 
-def _write_part(df: DataFrame, path: str) -> str:
-    """Parquet by order year; rebalanced, so a hot year is split over files.
-    Gives the columns as JSON."""
-    if "order_date" in df.columns:
-        df = df.withColumn("order_year", F.year("order_date"))
-        # Year first, as the writer wants it; then dates, for row-group statistics.
-        spread = df.hint("rebalance", "order_year").sortWithinPartitions("order_year", "order_date")
-        spread.write.partitionBy("order_year").parquet(path)
-    else:
-        df.write.parquet(path)
-    return df.schema.json()
+def _write(df: DataFrame, path: str, by: list[str], mode: str = "error") -> None:
+    """Write by folders, rebalanced so that a hot year is split over files."""
+    if by:
+        # Folders first, as the writer wants it; then dates, for row-group statistics.
+        df = df.hint("rebalance", *by).sortWithinPartitions(*by, *[c for c in ("order_date",) if c in df.columns])
+    writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
-def _dates(spark: SparkSession, path: str, columns: str) -> tuple:
-    """Least and greatest order date of a part, as text."""
-    schema = T.StructType.fromJson(json.loads(columns))
-    if "order_date" not in schema.fieldNames():
-        return None, None
-    dates = spark.read.schema(schema).parquet(path).agg(F.min("order_date").cast("string"), F.max("order_date").cast("string"))
-    return tuple(dates.first())
-
-
-def append_invoice_lines(df: DataFrame, path: str, part: str | None = None, stable: bool = False) -> int:
+def _write_counted(df: DataFrame, path: str, by: list[str]) -> dict:
+    """Write; how many rows and the last row id, seen in the same pass."""
+    seen = Observation()
+    last = F.max(F.col("row_id").try_cast("long")) if "row_id" in df.columns else F.lit(None).cast("long")
+    facts = [F.count(F.lit(1)).alias("rows"), F.coalesce(last, F.lit(0)).alias("last")]
+    _write(df.observe(seen, *facts), path, by)
+    try:
+        return seen.get
+    except Py4JJavaError:  # of a plan found to be empty while it ran, nothing is seen
+        return df.sparkSession.read.schema(df.schema).parquet(path).agg(*facts).first().asDict()
+
+
+def _with_year(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    return (df.withColumn("order_year", F.year("order_date")), ["order_year"]) if "order_date" in df.columns else (df, [])
+
+
+def _add_batch(
+    df: DataFrame, path: str, version: int, number: int, by: list[str], last: int = 0, keyed: bool = False, name: str | None = None, expected: int | None = None
+) -> int:
+    """Write a batch aside, check its size, then give it its name; its rows."""
+    spark, root = df.sparkSession, _root(path, version)
+    _note_columns(spark, path, version, df, by)
+    aside = f"{root}/_writing-{uuid.uuid4().hex}"
+    seen = _write_counted(df, aside, by)
+    if expected is not None and seen["rows"] != expected:
+        _remove(spark, aside)
+        raise RuntimeError(f"{seen['rows']} rows were written to {path} where {expected} were counted; nothing was stored")
+    if _listed(spark, f"{root}/stored_batch=b{number:07d}-*"):
+        _remove(spark, aside)
+        raise RuntimeError(f"another writer has changed {path} meanwhile; nothing was stored")
+    folder = f"b{number:07d}-{max(last, seen['last'])}-{'k' if keyed else 'u'}-{_quoted(name)}"
+    fs, written = _files(spark, aside)
+    if not fs.rename(written, _files(spark, f"{root}/stored_batch={folder}")[1]):
+        raise RuntimeError(f"{aside} could not be renamed; nothing was stored")
+    return seen["rows"]
+
+
+def append_invoice_lines(df: DataFrame, path: str, part: str | None = None, stable: bool = False, keys: DataFrame | None = None) -> int:
     """Add lines as one batch and number them; returns how many were added.
 
     A batch that names its ``part`` is stored once: repeating it (as a stream
-    does after a failure) adds nothing. ``stable`` tells that ``df`` meets the
-    terms of ``number_rows``; any other frame is kept first.
+    does after a failure) adds nothing. ``stable`` tells that ``df`` is
+    ``fixed`` in the sense of ``number_rows``. ``keys`` are the ``order_id`` of all
+    the lines; they are stored first, and count once the batch does.
     """
     spark = df.sparkSession
-    before = _log(spark, path)
-    if part is not None and any(c.batch == part for c in before.parts):
+    state = _state(spark, path)
+    if part is not None and any(b.name == _quoted(part) for b in state.batches):
         return 0
-    first = 1 + before.last_row_id()
-    numbered, count = number_rows(df if stable else shared(df), first)
+    numbered, count = number_rows(df, 1 + state.last_row_id(), fixed=stable)
     if count == 0:
         return 0
-    name = f"part=batch-{uuid.uuid4().hex}"
-    columns = _write_part(numbered, f"{path}/{name}")
-    dates = _dates(spark, f"{path}/{name}", columns)
-    _commit(spark, path, before, [("rows", name, part, count, first + count - 1, *dates, columns)])
-    return count
+    version, number = state.version or 1, max((b.number for b in state.batches), default=0) + 1
+    if keys is not None:
+        own = keys.select("order_id").distinct().withColumn("batch_number", F.lit(number))
+        own = with_bucket(own).hint("rebalance", "bucket").sortWithinPartitions("bucket", "order_id")
+        own.write.mode("append").partitionBy("bucket").parquet(_keys(path, version))
+    rows, by = _with_year(numbered)
+    return _add_batch(rows, path, version, number, by, state.last_row_id(), keys is not None, part, count)
+
 
+def replace_dataset(df: DataFrame, path: str, required: list, by: list[str] = ()) -> int:
+    """Check the columns, then make ``df`` the whole dataset; returns its size.
 
-def replace_dataset(df: DataFrame, path: str, required: list) -> int:
-    """Check the columns, then make ``df`` the whole dataset; returns its size."""
+    It becomes a new version; the last one before stays for those who read it.
+    ``by`` names columns whose values become folders above the years.
+    """
     require_columns(df, required)
     spark = df.sparkSession
-    before = _log(spark, path)
-    name = f"part=dataset-{uuid.uuid4().hex}"
-    columns = _write_part(df, f"{path}/{name}")
-    stored = spark.read.schema(T.StructType.fromJson(json.loads(columns))).parquet(f"{path}/{name}")
-    facts = [F.count("*").alias("rows")]
-    if "row_id" in df.columns:
-        facts.append(F.max("row_id").try_cast("long").alias("last"))
-    found = stored.agg(*facts).first().asDict()
-    last = max(before.last_row_id(), found.get("last") or 0)
-    dates = _dates(spark, f"{path}/{name}", columns)
-    _commit(spark, path, before, [("rows", name, None, found["rows"], last, *dates, columns)], replace=True)
-    return found["rows"]
+    state = _state(spark, path)
+    rows, year = _with_year(df)
+    written = _add_batch(rows, path, state.version + 1, 1, [*by, *year], state.last_row_id())
+    for old in range(1, state.version):
+        for folder in (_root(path, old), _keys(path, old)):
+            _remove(spark, folder)
+    return written
+
+
+def stored_folders(spark: SparkSession, path: str, *columns: str) -> list[dict]:
+    """The folders that hold rows, by what names them (or some of it), from their names alone."""
+    state = _state(spark, path)
+    types, by = _columns(spark, path, state.version)
+    found = {}
+    for name in _listed(spark, f"{_root(path, state.version)}/stored_batch=*" + "/*=*" * len(by)):
+        parts = dict(p.split("=", 1) for p in name.split("/")[-1 - len(by) :])
+        values = {c: None if v == NO_VALUE else v for c, v in parts.items()}
+        values = {c: int(v) if v is not None and c in by and types[c].dataType == T.IntegerType() else v for c, v in values.items()}
+        found[tuple(values.items())] = values
+    wanted = [{c: f[c] for c in columns or f} for f in found.values()]
+    return [f for i, f in enumerate(wanted) if f not in wanted[:i]]
+
+
+def overwrite_folders(spark: SparkSession, path: str, rows: DataFrame, folders: list[dict]) -> None:
+    """Make ``rows`` all there is in some folders (values of ``stored_batch`` and of the columns that name folders).
+
+    Other folders keep their files; a folder for which there is no row goes.
+    ``rows`` may come from the table itself.
+    """
+    version = _state(spark, path).version
+    _, by = _columns(spark, path, version)
+    _note_columns(spark, path, version, rows.drop("stored_batch"), by)
+    _overwrite(rows, _root(path, version), ["stored_batch", *by], folders)
 
 
-def stored_last_year(spark: SparkSession, path: str) -> int | None:
-    """Year of the newest stored order, from the log alone; deleted rows count.
-
-    Analyses that take a ``year`` then prune files while they are planned.
-    """
-    years = [int(p.last_date[:4]) for p in _log(spark, path).parts if p.kind == "rows" and p.last_date]
-    return max(years, default=None)
+def _overwrite(rows: DataFrame, root: str, by: list[str], folders: list[dict]) -> None:
+    spark = rows.sparkSession
+    rows = staged(rows, "rewritten")
+    left = {tuple(row) for row in rows.select(*by).distinct().collect()}  # as many rows as there are folders
+    if left:
+        _write(rows, root, by, "overwrite")
+    for folder in folders:
+        if tuple(folder[c] for c in by) not in left:
+            _remove(spark, f"{root}/" + "/".join(f"{c}={NO_VALUE if folder[c] is None else folder[c]}" for c in by))
 
 
 def delete_rows(spark: SparkSession, path: str, ids) -> int:
     """Delete by id; returns how many of the ids were there.
 
-    Only the ids are written. Rewriting files waits for the next
-    ``replace_dataset(read_table(...))``.
+    Only the year folders that hold one of them are rewritten.
+    """
+    wanted = broadcast_if_small(id_frame(spark, ids))
+    state = _state(spark, path)
+    if not state.version:
+        raise ValueError(f"no data has been stored in {path}")
+    rows = _rows(spark, path, state)
+    _, by = _columns(spark, path, state.version)
+    keyed = [b.number for b in state.batches if b.keyed]
+    about = ["row_id", "stored_batch", *by, *(["order_id"] if keyed else [])]
+    hits = staged(rows.select(*about).join(wanted, "row_id", "left_semi"), "deleted")
+    folders = [row.asDict() for row in hits.select("stored_batch", *by).distinct().collect()]
+    if not folders:
+        return 0
+    touched = rows.filter(within_folders(folders))
+    overwrite_folders(spark, path, touched.join(wanted, "row_id", "left_anti"), folders)
+    if keyed:
+        _forget_keys(spark, path, state.version, hits, _rows(spark, path, state).filter(within_folders(folders)))
+    return hits.count()
+
+
+def within_folders(folders: list[dict]) -> Column:
+    """Condition on the columns that name folders; Spark opens no others."""
+    each = [reduce(Column.__and__, [F.col(name).eqNullSafe(F.lit(value)) for name, value in f.items()]) for f in folders]
+    return reduce(Column.__or__, each)
+
+
+# Keys of stored invoices ---------------------------------------------------------
+
+
+def _keys(path: str, version: int) -> str:
+    return f"{path}/keys/version={version}"
+
+
+def _stored_keys(spark: SparkSession, path: str, version: int) -> DataFrame:
+    return spark.read.schema("order_id string, batch_number int, bucket int").parquet(_keys(path, version))
+
+
+def read_invoice_keys(spark: SparkSession, path: str) -> DataFrame:
+    """(order_id, bucket) of all stored invoices, from the narrow key table.
+
+    Batches stored without keys give those of their lines. Who joins by
+    ``bucket`` too reads only the folders of the keys asked for.
     """
-    wanted = id_frame(spark, ids)
-    before = _log(spark, path)
-    name = f"part=deleted-{uuid.uuid4().hex}"
-    found = read_table(spark, path).select("row_id").join(broadcast_if_small(wanted), "row_id", "left_semi")
-    found.write.parquet(f"{path}/{name}")
-    count = spark.read.parquet(f"{path}/{name}").count()
-    if count:
-        _commit(spark, path, before, [("deleted", name, None, count, before.last_row_id(), None, None, None)])
-    return count
+    state = _state(spark, path)
+    keyed, others = ([b for b in state.batches if b.keyed is k] for k in (True, False))
+    found = spark.createDataFrame([], "order_id string, bucket int")
+    if keyed:
+        found = _stored_keys(spark, path, state.version).filter(F.col("batch_number").isin([b.number for b in keyed])).select("order_id", "bucket")
+    if others and "order_id" in _columns(spark, path, state.version)[0].names:
+        lines = with_bucket(_rows(spark, path, state, others).select("order_id"))
+        found = found.unionByName(lines) if keyed else lines
+    return found
+
+
+def _forget_keys(spark: SparkSession, path: str, version: int, deleted: DataFrame, left: DataFrame) -> None:
+    """Take out the keys of invoices without any line left, in the folders that hold one."""
+    number = F.regexp_extract("stored_batch", "^b([0-9]+)-", 1).cast("int").alias("batch_number")
+    gone = deleted.select("order_id", number).distinct()
+    gone = staged(with_bucket(gone.join(left.select("order_id", number), ["order_id", "batch_number"], "left_anti")), "gone-keys")
+    folders = [row.asDict() for row in gone.select("bucket").distinct().collect()]
+    if folders:
+        kept = _stored_keys(spark, path, version).filter(F.col("bucket").isin([f["bucket"] for f in folders]))
+        kept = kept.join(broadcast_if_small(gone.drop("bucket")), ["order_id", "batch_number"], "left_anti")
+        _overwrite(kept, _keys(path, version), ["bucket"], folders)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import tallyline as tl
 from tallyline.plans.load import upload_csv
 from tallyline.schema import INVOICE_LINES, UPLOAD_REQUIRED
-from tallyline.sources.tables import _log
+from tallyline.sources.tables import stored_batches
 
 HEADER = " Row ID , Order ID,Order Date,Ship Date,Category,Product Name, Sales ,Profit,Discount,Discount rate,City\n"
 
@@ -275,7 +275,7 @@ def test_stream_takes_each_archive_once(spark, tmp_path):
     assert sorted(r.order_id for r in stored.collect()) == ["A", "B", "C", "C"]
     # A batch that is repeated after a failure finds its part stored.
     lines = stored.drop("row_id", "order_year")
-    first = _log(spark, path).parts[0].batch
+    first = stored_batches(spark, path)[0].name
     assert first.startswith("invoices-") and first.endswith("-0") and "None" not in first
     assert tl.append_invoice_lines(lines, path, part=first) == 0
     # The same stream with a new checkpoint starts over and skips by invoice.

@@ -16,7 +16,7 @@ PYTHON_QUERIES = {
     "parse_invoices", "parse_invoices_last_line", "invoice_json", "invoice_archives", "canonical_invoices",
     "consolidated_sources", "invoice_intake",
 }
-WRITERS = {"invoice_intake", "stored_delete", "replace_dataset", "csv_round_trip", "deep_page", "deep_page_by_name"}
+WRITERS = {"invoice_intake", "overlapping_intake", "selection_outlives_refresh", "stored_delete", "replace_dataset", "csv_round_trip", "deep_page", "deep_page_by_name"}
 
 
 def plan(df, mode="formatted"):
@@ -68,6 +68,17 @@ def test_year_filter_reaches_the_stored_folders(spark, tmp_path):
     assert tl.kpis(stored).collect() == tl.kpis(tx).collect() == tl.kpis(stored, year=2001).collect()
 
 
+def test_intake_reads_only_the_key_folders_it_asks_for(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    lines = transactions(spark, SF_DIR, "order_id", "order_date", "sales")
+    tl.append_invoice_lines(lines, path, keys=lines)
+    documents = spark.createDataFrame([("z", 0, "m", "1", True, None)], "archive string, member_no int, member string, order_id string, has_uuid boolean, problem string")
+    text = plan(tl.find_duplicates(documents, tl.read_invoice_keys(spark, path)))
+    scans = [part for part in text.split("Scan parquet")[1:] if "keys/version" in part.split("\n\n")[0]]
+    assert scans and all("dynamicpruning" in s and "ReadSchema: struct<order_id:string,batch_number:int>" in s for s in scans)
+    assert "stored_batch" not in text
+
+
 def test_hot_customer_is_pre_aggregated(spark):
     """Rows are merged by customer and order before they are sent by customer."""
     text = plan(tl.customer_totals(transactions(spark, SF_DIR, "customer_name", "order_id", "sales", "profit")))

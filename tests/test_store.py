@@ -34,26 +34,144 @@ def test_batch_names_are_compared_whole(spark, tmp_path):
     assert orders(spark, path) == ["a", "b", "c", "d"]
 
 
-def test_one_log_file_is_read_however_many_batches(spark, tmp_path):
+def test_folder_names_tell_the_state(spark, tmp_path):
     path = str(tmp_path / "t")
+    assert tl.stored_last_year(spark, path) is None
     for i in range(6):
-        tl.append_invoice_lines(lines(spark, str(i)), path)
-    log = spark.read.schema(f"{tables.LOG_SCHEMA}, number long").parquet(f"{path}/log").filter("number = 6")
-    assert log.count() == 6 and len({r.f for r in log.select(F.input_file_name().alias("f")).collect()}) == 1
+        tl.append_invoice_lines(lines(spark, str(i)), path, f"day {i}/%é")
+    assert [(b.number, b.last_row_id) for b in tables.stored_batches(spark, path)] == [(i, i) for i in range(1, 7)]
+    assert tl.append_invoice_lines(lines(spark, "x"), path, "day 3/%é") == 0
     assert orders(spark, path) == list("012345")
     assert tl.stored_last_year(spark, path) == 2024
+    assert tl.delete_rows(spark, path, [1, 2, 3, 4, 5, 6]) == 6
+    assert tl.stored_last_year(spark, path) is None and tl.read_table(spark, path).count() == 0
+    assert tl.append_invoice_lines(lines(spark, "new"), path) == 1
+    assert [r.row_id for r in tl.read_table(spark, path).collect()] == [7]
 
 
 def test_a_second_writer_is_refused(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "t")
     tl.append_invoice_lines(lines(spark, "a"), path)
-    old = tables._log(spark, path)
-    tl.append_invoice_lines(lines(spark, "b"), path)
+    old = tables._state(spark, path)
+    tl.append_invoice_lines(lines(spark, "b", "bb"), path)
     with monkeypatch.context() as m:
-        m.setattr(tables, "_log", lambda *_: old)
+        m.setattr(tables, "_state", lambda *_: old)
         with pytest.raises(RuntimeError, match="another writer"):
             tl.append_invoice_lines(lines(spark, "c"), path)
-    assert orders(spark, path) == ["a", "b"]
+    assert orders(spark, path) == ["a", "b", "bb"]
+
+
+def test_a_batch_of_another_size_is_not_stored(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    tl.append_invoice_lines(lines(spark, "a"), path)
+    with monkeypatch.context() as m:
+        numbered = tables.number_rows
+        m.setattr(tables, "number_rows", lambda *a, **k: (numbered(*a, **k)[0], 3))
+        with pytest.raises(RuntimeError, match="2 rows were written .* where 3 were counted"):
+            tl.append_invoice_lines(lines(spark, "b", "c"), path)
+    assert orders(spark, path) == ["a"]
+
+
+def test_rows_are_numbered_whatever_the_splits(spark, tmp_path):
+    """Files are cut into other partitions between counting and reading."""
+    spark.range(30_000).repartition(3).write.parquet(str(tmp_path / "p"))
+    keys = {"spark.sql.files.openCostInBytes": "1024", "spark.sql.files.minPartitionNum": "8"}
+    try:
+        for key, value in keys.items():
+            spark.conf.set(key, value)
+        rows = spark.read.parquet(str(tmp_path / "p"))
+        tx = rows.selectExpr("id as row_id", "timestamp_ntz'2024-05-01' as order_date", "1.0D as sales", "1.0D as profit", "'csv' as source")
+        numbered, n = tables.number_rows(rows, 1)
+        spark.conf.set("spark.sql.files.minPartitionNum", "2")
+        assert n == 30_000 and numbered.agg(F.count_distinct("row_id")).first()[0] == n
+        stored = tl.store_transactions(tx, str(tmp_path / "t"))
+        spark.conf.set("spark.sql.files.minPartitionNum", "40")
+        assert stored.agg(F.count_distinct("row_id")).first()[0] == stored.count() == n
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+
+
+def test_ids_follow_from_source_and_content(spark):
+    rows = [(1, "xml", "a"), (1, "csv", "a"), (2, "csv", "b"), (2, "csv", "c"), (None, "csv", "d"), (None, "csv", "d"), (None, "csv", "e"), (-4, "csv", "f")]
+    rows += [(9, "csv", "copy")] * 40
+    df = spark.createDataFrame(rows, "row_id long, source string, product_name string")
+    found = [tl.with_stable_ids(df.repartition(n)).collect() for n in (1, 5)]
+    assert all(len({r.row_id for r in f}) == len(rows) and min(r.row_id for r in f) > 0 for f in found)
+    assert sorted((r.row_id, str(r.source_id), r.product_name) for r in found[0]) == sorted((r.row_id, str(r.source_id), r.product_name) for r in found[1])
+    direct = {(r.source, r.product_name): r.row_id for r in found[0]}
+    assert direct["xml", "a"] == 3 and direct["csv", "a"] == 2 and direct["csv", "b"] > 1 << 61
+
+
+def files_by_folder(path):
+    return {str(f.relative_to(path)) for f in path.rglob("*.parquet") if "stored_batch=" in str(f)}
+
+
+@pytest.fixture
+def three_years(spark, tmp_path):
+    invoices, path = str(tmp_path / "i"), str(tmp_path / "t")
+    empty = spark.createDataFrame([], tl.read_invoice_lines(spark, invoices).schema).drop("row_id")
+    dated = lambda year, *ids: empty.unionByName(
+        lines(spark, *ids).withColumn("order_date", F.lit(f"{year}-05-01").cast("timestamp_ntz")), allowMissingColumns=True
+    )
+    for year in (2022, 2023, 2024):
+        tl.append_invoice_lines(dated(year, f"a{year}", f"b{year}"), invoices, keys=dated(year, f"a{year}", f"b{year}"))
+    (tmp_path / "h.csv").write_text("Row ID,Order Date,Ship Date,Sales,Profit,Category\n1,1/1/2022,,5,1,x\n2,1/1/2024,,6,1,x\n")
+    assert tl.upload_csv(spark, str(tmp_path / "h.csv"), path, invoices_path=invoices) == 8
+    return invoices, path, dated
+
+
+def test_only_years_that_change_are_rewritten(spark, tmp_path, three_years):
+    invoices, path, dated = three_years
+    before = {name: files_by_folder(tmp_path / name) for name in "it"}
+    chosen = tl.read_table(spark, path).filter("order_id = 'a2023'")
+    assert tl.delete_selected(spark, path, chosen, invoices) == 1
+    after = {name: files_by_folder(tmp_path / name) for name in "it"}
+    for name in "it":
+        changed = before[name] ^ after[name]
+        assert changed and all("order_year=2023" in f and "source=csv" not in f for f in changed)
+    assert sorted(r.order_id for r in tl.read_table(spark, path).filter("source = 'xml'").collect()) == ["a2022", "a2024", "b2022", "b2023", "b2024"]
+    # New invoices of one year, a new file of another: the rest stays as it is.
+    tl.append_invoice_lines(dated(2024, "c2024"), invoices)
+    before = files_by_folder(tmp_path / "t")
+    tl.refresh_transactions(spark, path, invoices)
+    assert all("source=xml/order_year=2024" in f for f in before ^ files_by_folder(tmp_path / "t"))
+    before = files_by_folder(tmp_path / "t")
+    tl.refresh_transactions(spark, path, invoices)
+    assert before == files_by_folder(tmp_path / "t")
+    (tmp_path / "n.csv").write_text("Order Date,Ship Date,Sales,Profit,Category,Extra\n1/1/2023,,7,1,x,more\n")
+    assert tl.upload_csv(spark, str(tmp_path / "n.csv"), path) == 7
+    assert all("source=csv" in f for f in before ^ files_by_folder(tmp_path / "t"))
+    assert [(r.sales, r.Extra) for r in tl.read_table(spark, path).filter("source = 'csv'").collect()] == [(7.0, "more")]
+    # Rates taken in another way concern all years.
+    before = files_by_folder(tmp_path / "t")
+    tl.refresh_transactions(spark, path, invoices, rate="stored")
+    assert {f.split("order_year=")[1][:4] for f in before ^ files_by_folder(tmp_path / "t")} == {"2022", "2023", "2024"}
+
+
+def test_a_selection_outlives_a_refresh(spark, three_years):
+    invoices, path, dated = three_years
+    selection = [r.row_id for r in tl.read_table(spark, path).filter("order_id in ('b2022', 'a2024')").collect()]
+    tl.delete_selected(spark, path, tl.read_table(spark, path).filter("order_id = 'a2022'"), invoices)
+    tl.append_invoice_lines(dated(2021, "z2021"), invoices)
+    tl.refresh_transactions(spark, path, invoices)
+    assert tl.delete_selected(spark, path, selection, invoices) == 2
+    assert sorted(r.order_id for r in tl.read_table(spark, path).filter("source = 'xml'").collect()) == ["a2023", "b2023", "b2024", "z2021"]
+    assert tl.delete_selected(spark, path, selection, invoices) == 0
+
+
+def test_keys_of_stored_invoices(spark, three_years):
+    invoices, path, dated = three_years
+    keys = lambda: sorted(r.order_id for r in tl.read_invoice_keys(spark, invoices).collect())
+    assert keys() == sorted(f"{c}{y}" for c in "ab" for y in (2022, 2023, 2024))
+    tl.append_invoice_lines(dated(2024, "u", "u"), invoices)  # without keys: those of its lines
+    assert keys().count("u") == 2
+    ids = {r.order_id: r.row_id for r in tl.read_invoice_lines(spark, invoices).collect()}
+    tl.delete_rows(spark, invoices, [ids["a2022"], ids["u"]])
+    assert "a2022" not in keys() and "b2022" in keys() and keys().count("u") == 1
+    documents = spark.createDataFrame([("z", 0, "m", "b2023", True, None), ("z", 1, "m", "new", True, None)], "archive string, member_no int, member string, order_id string, has_uuid boolean, problem string")
+    found = tl.find_duplicates(documents, tl.read_invoice_keys(spark, invoices))
+    assert [r.member_no for r in found.collect()] == [0]
 
 
 def test_ids_are_unique_over_sources_and_only_invoices_are_deleted(spark, tmp_path):

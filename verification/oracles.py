@@ -501,6 +501,14 @@ ORACLES = {
             CAST(sum(quantity) AS BIGINT) AS quantity, {r4('sum(sales)')} AS sales FROM tx
             WHERE quantity % 2 = 0 OR NOT regexp_matches(country, '(?i)nation_7$') GROUP BY 1"""
     ),
+    "selection_outlives_refresh": with_tx(
+        f"""SELECT CASE WHEN quantity % 2 = 0 THEN 'csv' ELSE 'xml' END AS source, count(*) AS rows, count(*) AS ids,
+            CAST(sum(quantity) AS BIGINT) AS quantity, {r4('sum(sales)')} AS sales FROM tx
+            WHERE quantity % 2 = 0 OR quantity >= 25 OR NOT regexp_matches(country, '(?i)nation_[78]$') GROUP BY 1"""
+    ),
+    "overlapping_intake": """SELECT 2 * count(*) AS lines, 2 * count(*) AS ids, count(*) AS invoices,
+        2 * count(*) FILTER (l_linenumber > 4) AS records_inserted,
+        count(*) FILTER (l_linenumber BETWEEN 3 AND 4) AS invoices_skipped, CAST(0 AS BIGINT) AS documents_held FROM lineitem""",
     "newest_first": "SELECT event_id, CAST(ts AS VARCHAR) AS ts, event_type FROM events ORDER BY events.ts DESC, event_id",
     "snapshot_changes": """SELECT o_orderkey AS id, o_custkey AS email,
         CASE WHEN o_orderpriority = '5-LOW' THEN 'ELIMINACION_USUARIO' ELSE 'MODIFICACION_GOBERNANZA' END AS action,

@@ -550,6 +550,18 @@ def invoice_intake(spark, sf):
     )
 
 
+def overlapping_intake(spark, sf):
+    """Two batches that share invoices: what the second adds and skips, and what is stored."""
+    path = scratch_path(spark, "invoices")
+    docs = tl.shared(_invoice_documents(spark, sf))
+    tl.intake_invoices(docs.filter("member_no <= 4"), path)
+    report = tl.intake_invoices(docs.filter("member_no >= 3"), path)["report"]
+    return tl.read_invoice_lines(spark, path).agg(
+        F.count("*").alias("lines"), F.count_distinct("row_id").alias("ids"), F.count_distinct("order_id").alias("invoices"),
+        *[F.lit(n).cast("long").alias(name) for name, n in report.items()],
+    )
+
+
 # --- stored tables ----
 
 
@@ -608,6 +620,20 @@ def delete_in_consolidated(spark, sf):
     return _by_source(tl.read_table(spark, path))
 
 
+def selection_outlives_refresh(spark, sf):
+    """Rows selected, new invoices and a new file taken in, then the selection deleted: the same invoices go."""
+    path, invoices = scratch_path(spark, "tx"), scratch_path(spark, "invoices")
+    tl.append_invoice_lines(_lines(spark, sf, "quantity % 2 = 1 and quantity < 25"), invoices)
+    tl.upload_csv(spark, _csv_file(spark, sf, "quantity % 3 = 0"), path, invoices_path=invoices)
+    chosen = tl.filter_columns(tl.read_table(spark, path), {"country": "nation_[78]$"}).select("row_id")
+    chosen = tl.shared(chosen)
+    tl.append_invoice_lines(_lines(spark, sf, "quantity % 2 = 1 and quantity >= 25"), invoices)
+    tl.refresh_transactions(spark, path, invoices)
+    tl.upload_csv(spark, _csv_file(spark, sf, "quantity % 2 = 0"), path)
+    tl.delete_selected(spark, path, chosen, invoices)
+    return _by_source(tl.read_table(spark, path))
+
+
 def stored_annotations(spark, sf):
     path = scratch_path(spark, "notes")
     first, second = _notes(spark, sf)
@@ -726,9 +752,9 @@ QUERIES = {
         explore_rows, explore_counts, audit_export,
         date_functions, event_times, label_functions, number_functions, catalogue_lookups, sanitized_measures, narrow_measures,
         csv_round_trip, csv_mixed_headers, parse_invoices, parse_invoices_last_line, invoice_json, invoice_archives,
-        canonical_invoices, consolidated_sources, suppress_duplicates, ingest_report, invoice_intake,
+        canonical_invoices, consolidated_sources, suppress_duplicates, ingest_report, invoice_intake, overlapping_intake,
         delete_by_ids, deleted_count, stored_delete, replace_dataset, upsert_annotations, latest_annotation,
-        named_batches, upload_then_refresh, delete_in_consolidated, stored_annotations,
+        named_batches, upload_then_refresh, delete_in_consolidated, selection_outlives_refresh, stored_annotations,
         newest_first, snapshot_changes, record_count, numbered_rows,
     ]
 }
