@@ -7,7 +7,7 @@ from tallyline.session import broadcast_if_small, shared
 
 IDENTITY = ["archive", "member_no", "member"]
 #: Folders that the keys of stored invoices are spread over.
-KEY_BUCKETS = 256
+KEY_BUCKETS = 64
 
 
 def with_bucket(df: DataFrame, key: str = "order_id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import tallyline as tl
 from tallyline.session import broadcast_if_small
-from tallyline.sources import tables
+from tallyline.sources import csv_files, tables
 
 LINES = "order_id string, order_date timestamp_ntz, sales double"
 
@@ -207,6 +207,43 @@ def test_stray_quotes_and_line_breaks(spark, tmp_path):
     assert [tuple(r) for r in tl.read_transactions_csv(spark, str(tmp_path / "q.csv")).collect()] == [("1", '5" pipe', "two\nlines", '6" pipe')]
 
 
+def test_only_files_with_quoted_line_breaks_are_read_whole(spark, tmp_path):
+    bodies = {
+        "plain": "1,2\n3,4\n", "quoted": '"1","a, b"\n"say ""x"", twice",""\n"""",4\n', "stray": '5" pipe,x"\n',
+        "broken": '1,"two\nlines"\n', "even": '5" pipe,"two\nlines 6"" pipe"\n', "escaped": '1,"ends with """\n1,"goes on ""\nhere"\n', "odd": '"1" x,2\n',
+    }
+    for name, body in bodies.items():
+        (tmp_path / f"{name}.csv").write_bytes(b"\xef\xbb\xbf" + f'"a",b\n{body}'.encode())
+    (tmp_path / "header.csv").write_text('"a","b\nc"\n1,2\n')
+    (tmp_path / "empty.csv").write_text("\n")
+    files = {r.file.rsplit("/", 1)[1][:-4]: r for r in csv_files._about_files(spark, [str(tmp_path)], None)}
+    assert {name for name, r in files.items() if r.whole} == {"broken", "even", "escaped", "odd", "header"}
+    assert {name for name, r in files.items() if r.broken_header} == {"header"}
+    assert {r.header for name, r in files.items() if name != "header"} == {'"a",b'}
+    for name in bodies:
+        path = str(tmp_path / f"{name}.csv")
+        rows = lambda **o: sorted(map(str, tl.read_transactions_csv(spark, path, **o).collect()))
+        assert rows() == rows(multi_line=True)
+        if not files[name].whole:
+            assert rows() == rows(multi_line=False)
+    read = tl.read_transactions_csv(spark, str(tmp_path))
+    assert read.columns == ["a", "b", "b\nc"] and read.count() == 12
+
+
+def test_many_files_cost_one_job_for_their_headers(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"{i}.csv").write_text(f"a,b\n{i},x\n")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("headers", "headers")
+    try:
+        read = tl.read_transactions_csv(spark, str(tmp_path))
+        # Listing 40 files is a job of its own; headers are one query of two jobs at most.
+        assert len(tracker.getJobIdsForGroup("headers")) <= 5
+        assert read.count() == 40
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_a_broken_archive_stops_nothing(spark, tmp_path):
     def archive(*members):
         buffer = io.BytesIO()
