@@ -34,7 +34,7 @@ def start_invoice_intake(
     def take_in(batch: DataFrame, number: int) -> None:
         query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         part = f"{name}-{query}-{number}"
-        intake_invoices(expand_archives(batch).hint("rebalance"), path, part=part, **options)
+        intake_invoices(expand_archives(batch), path, part=part, **options)
 
     return (
         archives.writeStream.foreachBatch(take_in)

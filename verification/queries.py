@@ -452,7 +452,7 @@ def _invoice_documents(spark, sf):
         F.col("l_linenumber").alias("member_no"),
         member.alias("member"),
         F.encode(xml, "UTF-8").alias("xml"),
-    ).hint("rebalance")
+    )
 
 
 def parse_invoices(spark, sf):
