@@ -193,9 +193,9 @@ def _without(text: Column, gone: Column) -> Column:
 
 def drop_repeated_lines(
     docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT, distance: int = DISTANCE, id_column: str = "doc_id",
-    text_column: str = "text", drop_empty: bool = False,
+    text_column: str = "text", drop_empty: bool = False, counted: bool = True,
 ) -> DataFrame:
-    """``docs`` with the repeated lines taken out of the texts, and ``n_removed``.
+    """``docs`` with the repeated lines taken out of the texts and, if ``counted``, ``n_removed`` as its last column.
 
     ``drop_empty`` leaves out documents that lost lines and keep none with a
     word; what is their own in shorter lines keeps the others.
@@ -214,4 +214,4 @@ def drop_repeated_lines(
     if drop_empty:
         out = out.filter(F.col("gone").isNull() | new.rlike(r"[\p{L}\p{N}]"))
     shown = [new.alias(c) if name == text_name else F.col(name).alias(c) for name, c in zip(names, docs.columns)]
-    return out.select(*shown, F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))
+    return out.select(*shown, *([F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed")] if counted else []))

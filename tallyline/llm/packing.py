@@ -34,20 +34,23 @@ CAPACITY = 1024
 END = 2
 #: Pieces up to this share of the capacity are small.
 SMALL_SHARE = 8
-GROUPS = 8192
+#: Numbers of groups tried; from as many as there are lengths on, nothing is rounded.
+GROUPS = (16, 64, 256, 1024, 8192)
 
 Encode = Callable[[str], list[int]]
 
 
-def byte_bpe(path: str, pattern: str) -> Callable[[], Encode]:
-    """Loader of a byte-level vocabulary of (token, rank) lines; special strings count as text."""
+def byte_bpe(path: str, pattern: str, special: dict[str, int] | None = None) -> Callable[[], Encode]:
+    """Loader of a byte-level vocabulary of (token, rank) lines; ``special`` strings in a text are one token each, none by default."""
+    special = special or {}
 
     def load() -> Encode:
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        return tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        found = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        return (lambda text: found.encode(text, allowed_special="all")) if special else found.encode_ordinary
 
     return load
 
@@ -160,18 +163,13 @@ def _by_configurations(counts: dict[int, int], capacity: int, groups: int) -> Pl
     return Plan(sorted(out), bins, gaps)
 
 
-def _by_best_fit(counts: dict[int, int], capacity: int, groups: int) -> Plan:
-    sizes, demand, begin = _rounded(counts, groups)
-    fills, bins, gaps = plan_small(dict(zip(sizes, demand)), {}, capacity, 0)
-    start = dict(zip(sizes, begin))
-    return Plan(sorted(Segment(start[f.length] + f.rank, f.count, f.bin, f.each, f.slot) for f in fills), bins, gaps)
-
-
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small_share: int = SMALL_SHARE) -> Plan:
+def plan(
+    counts: dict[int, int], capacity: int = CAPACITY, groups: int | tuple[int, ...] = GROUPS, small_share: int = SMALL_SHARE
+) -> Plan:
     """For the large pieces, the configurations that need the fewest sequences once small pieces have filled the gaps."""
     small = {n: c for n, c in counts.items() if n <= capacity // small_share}
     large = {n: c for n, c in counts.items() if n > capacity // small_share}
-    plans = [make(large, capacity, groups) for make in (_by_configurations, _by_best_fit)]
+    plans = [_by_configurations(large, capacity, n) for n in ((groups,) if isinstance(groups, int) else groups)]
     return min(plans, key=lambda p: p.bins + plan_small(small, p.gaps, capacity, capacity)[1])
 
 
@@ -273,7 +271,7 @@ def _small_place(fills: list[Fill]) -> Callable[[pa.RecordBatch], dict[str, np.n
     return place
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small_share: int = SMALL_SHARE) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, groups: int | tuple[int, ...] = GROUPS, small_share: int = SMALL_SHARE) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces with a ``length``; sequences are filled from 0 without gaps."""
     items = stored(items.withColumn("item", F.monotonically_increasing_id()), "pieces")
     found = items.groupBy("length").agg(F.count("*").alias("n")).collect()

@@ -1,5 +1,6 @@
 """One query per operator of this subpackage, over whole tables, and its SQL where SQL can express it."""
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ from tallyline.llm.packing import byte_bpe, pack, pieces
 from tallyline.llm.pii import KINDS, find_pii
 from tallyline.llm.quality_classifier import STATISTICS, document_statistics, fit, score
 from tallyline.llm.quality_rules import FULL_POLICY, apply_policy, ledger
-from tallyline.llm.secrets import STRONG, find_secrets
+from tallyline.llm.secrets import STRONG, WEAK, find_secrets
 from tallyline.llm.warc import read_records, write_bundles
 from tallyline.session import scratch_path, shared
 
@@ -31,10 +32,14 @@ def _remainder(divisor: int) -> Column:
 
 
 def tokenizer(path: str | None = None):
-    """Loader of the public byte-level vocabulary; by default the installed file."""
+    """Loader of the public byte-level tokenizer, by default the installed one: its special tokens are those of the JSON file,
+    its merges are read from the rank file beside it, which a faster library takes and which gives the same ids."""
     import public_tokenizers
 
-    return byte_bpe(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    path = path or public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as file:
+        special = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+    return byte_bpe(path.removesuffix(".json") + ".tiktoken", public_tokenizers.PATTERN, special)
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +125,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digest of the strong spans; ``spans`` has the linked weak ones too."""
     found = find_secrets(_table(spark, sf_dir, "documents"))
-    everything = _in_order(F.concat("strong", "linked"), lambda s: s["start"])
+    rank = lambda s: F.array_position(F.array(*map(F.lit, STRONG + WEAK)), s["kind"])
+    everything = _in_order(F.concat("strong", "linked"), lambda s: s["start"], rank, lambda s: s["end"])
     return found.select(
         "doc_id",
         *[_of_kind("strong", kind).alias(f"n_{kind}") for kind in STRONG],
