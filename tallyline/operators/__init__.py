@@ -63,6 +63,7 @@ from tallyline.operators.maintain import (
     snapshot_changes,
     upsert_annotations,
 )
+from tallyline.operators.partials import order_partials
 from tallyline.operators.products import (
     bottom_products,
     product_discounts,

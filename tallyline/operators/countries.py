@@ -8,6 +8,9 @@ from tallyline.functions import round2, total
 
 def country_totals(tx: DataFrame) -> DataFrame:
     """Sales, profit, shipping and number of order lines by country."""
+    lines = F.count("order_id")
+    if "order_lines" in tx.columns:  # of ``order_partials``
+        lines = F.coalesce(F.sum(F.when(F.col("order_id").isNotNull(), F.col("order_lines"))), F.lit(0))
     return (
         tx.filter(F.col("country").isNotNull())
         .groupBy("country")
@@ -15,7 +18,7 @@ def country_totals(tx: DataFrame) -> DataFrame:
             total(F.col("sales")).alias("sales"),
             total(F.col("profit")).alias("profit"),
             total(F.col("shipping_cost")).alias("shipping_cost"),
-            F.count("order_id").alias("orders"),
+            lines.alias("orders"),
         )
     )
 

@@ -4,6 +4,7 @@ from tallyline.plans.load import (
     load_transactions,
     refresh_transactions,
     save_annotations,
+    store_partials,
     store_transactions,
     stored_annotation,
     upload_csv,

@@ -1,5 +1,7 @@
 """From the sources to the stored canonical table."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -7,10 +9,21 @@ from pyspark.sql import types as T
 from tallyline.operators.canonical import canonical_csv, canonical_invoices, consolidate
 from tallyline.operators.checks import require_columns
 from tallyline.operators.maintain import id_frame, latest_annotation, upsert_annotations
+from tallyline.operators.partials import order_partials
 from tallyline.schema import UPLOAD_REQUIRED
 from tallyline.session import broadcast_if_small, staged
 from tallyline.sources.csv_files import read_transactions_csv
-from tallyline.sources.tables import delete_rows, overwrite_folders, read_invoice_lines, read_table, replace_dataset, stored_batches, stored_folders, within_folders
+from tallyline.sources.tables import (
+    delete_rows,
+    folder_marks,
+    overwrite_folders,
+    read_invoice_lines,
+    read_table,
+    replace_dataset,
+    stored_batches,
+    stored_folders,
+    within_folders,
+)
 
 #: Keys below are source ids, keys from here on are made of contents.
 CONTENT_KEYS = 1 << 62
@@ -176,6 +189,40 @@ def delete_selected(spark: SparkSession, path: str, ids, invoices_path: str) ->
     return count
 
 
+def store_partials(spark: SparkSession, path: str, partials_path: str) -> DataFrame:
+    """Keep ``order_partials`` of the stored table up to date beside it and read them.
+
+    Each source and year is merged on its own and carries a mark of the files it
+    was made from. Only those whose files changed since are read and merged
+    again; the others are told by their names alone.
+    """
+    marks = [({c: v for c, v in folder.items() if c != "stored_batch"}, mark) for folder, mark in folder_marks(spark, path)]
+    known, first = {}, not _is_stored(spark, partials_path)
+    if not first:
+        made = read_table(spark, partials_path).groupBy("source", "order_year").agg(F.min("made_from").alias("made_from"))
+        known = {(r["source"], r["order_year"]): r["made_from"] for r in made.collect()}  # a row per source and year
+    changed = [(f, mark) for f, mark in marks if known.get((f["source"], f["order_year"])) != mark]
+    gone = [{"source": s, "order_year": y} for s, y in known if (s, y) not in {(f["source"], f["order_year"]) for f, _ in marks}]
+    if first or changed or gone:
+        rows = read_table(spark, path)
+        parts = []
+        own = rows.filter(within_folders([f for f, _ in changed])) if changed else rows.limit(0)
+        noted = spark.createDataFrame([(f["source"], f["order_year"], mark) for f, mark in changed], "source string, order_year int, made_from string")
+        for source in sorted({f["source"] for f, _ in changed}) or [None]:
+            one = order_partials(own.filter(F.col("source").eqNullSafe(F.lit(source)))).withColumn("source", F.lit(source).cast("string"))
+            parts.append(one.withColumn("order_year", F.year("order_date")))
+        merged = reduce(DataFrame.unionByName, parts)
+        same = merged["source"].eqNullSafe(noted["source"]) & merged["order_year"].eqNullSafe(noted["order_year"])
+        merged = merged.join(F.broadcast(noted), same).select(*[merged[c] for c in merged.columns], "made_from")
+        if first:
+            replace_dataset(merged.drop("order_year"), partials_path, [], ["source"])
+        else:
+            (batch,) = stored_batches(spark, partials_path)
+            folders = [{"stored_batch": batch.folder, **f} for f in [f for f, _ in changed] + gone]
+            overwrite_folders(spark, partials_path, merged.withColumn("stored_batch", F.lit(batch.folder)), folders)
+    return read_table(spark, partials_path)
+
+
 def save_annotations(spark: SparkSession, changes: DataFrame, path: str) -> int:
     """Store the newest text per page; how many pages have one."""
     try:

@@ -13,6 +13,7 @@ second one is refused if it finds its batch number taken, and a reader that
 meets a rewrite may have to read again.
 """
 
+import hashlib
 import json
 import re
 import uuid
@@ -291,6 +292,19 @@ def stored_folders(spark: SparkSession, path: str, *columns: str) -> list[dict]:
     return [f for i, f in enumerate(wanted) if f not in wanted[:i]]
 
 
+def folder_marks(spark: SparkSession, path: str) -> list[tuple[dict, str]]:
+    """(folder, mark) of each folder with rows; the mark changes whenever its files do. No file is opened."""
+    state = _state(spark, path)
+    _, by = _columns(spark, path, state.version)
+    names = _listed(spark, f"{_root(path, state.version)}/stored_batch=*" + "/*=*" * len(by) + "/*.parquet")
+    files = {}
+    for name in names:
+        folder, file = name.rsplit("/", 1)
+        files.setdefault(tuple(folder.split("/")[-1 - len(by) :]), []).append(file)
+    found = {tuple(f"{c}={NO_VALUE if v is None else v}" for c, v in f.items()): f for f in stored_folders(spark, path)}
+    return [(found[key], hashlib.md5("/".join(sorted(own)).encode()).hexdigest()) for key, own in files.items()]
+
+
 def overwrite_folders(spark: SparkSession, path: str, rows: DataFrame, folders: list[dict]) -> None:
     """Make ``rows`` all there is in some folders (values of ``stored_batch`` and of the columns that name folders).
 

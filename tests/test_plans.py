@@ -16,7 +16,7 @@ PYTHON_QUERIES = {
     "parse_invoices", "parse_invoices_last_line", "invoice_json", "invoice_archives", "canonical_invoices",
     "consolidated_sources", "invoice_intake",
 }
-WRITERS = {"invoice_intake", "overlapping_intake", "selection_outlives_refresh", "stored_delete", "replace_dataset", "csv_round_trip", "deep_page", "deep_page_by_name"}
+WRITERS = {"invoice_intake", "overlapping_intake", "selection_outlives_refresh", "kpis_from_partials", "customer_totals_from_partials", "country_totals_from_partials", "stored_delete", "replace_dataset", "csv_round_trip", "deep_page", "deep_page_by_name"}
 
 
 def plan(df, mode="formatted"):

@@ -160,6 +160,21 @@ def test_a_selection_outlives_a_refresh(spark, three_years):
     assert tl.delete_selected(spark, path, selection, invoices) == 0
 
 
+def test_partials_follow_the_files_that_change(spark, tmp_path, three_years):
+    invoices, path, dated = three_years
+    stored = str(tmp_path / "p")
+    totals = lambda df: sorted((r.country or "", r.sales, r.orders) for r in tl.country_totals(df.fillna("x", "country")).collect())
+    full = lambda: totals(tl.read_table(spark, path))
+    assert totals(tl.store_partials(spark, path, stored)) == full()
+    before = files_by_folder(tmp_path / "p")
+    tl.store_partials(spark, path, stored)
+    assert files_by_folder(tmp_path / "p") == before
+    tl.append_invoice_lines(dated(2024, "c2024", "c2024"), invoices)
+    tl.delete_selected(spark, path, tl.read_table(spark, path).filter("order_id in ('a2023', 'b2023')"), invoices)
+    assert totals(tl.store_partials(spark, path, stored)) == full()
+    assert {f.split("source=")[1].rsplit("/", 1)[0] for f in before ^ files_by_folder(tmp_path / "p")} == {"xml/order_year=2023", "xml/order_year=2024"}
+
+
 def test_keys_of_stored_invoices(spark, three_years):
     invoices, path, dated = three_years
     keys = lambda: sorted(r.order_id for r in tl.read_invoice_keys(spark, invoices).collect())

@@ -521,3 +521,5 @@ ORACLES = {
 }
 ORACLES["csv_mixed_headers"] = ORACLES["csv_round_trip"]
 ORACLES["stored_annotations"] = ORACLES["latest_annotation"]
+for _name in ("kpis", "customer_totals", "country_totals"):
+    ORACLES[f"{_name}_from_partials"] = ORACLES[_name]

@@ -634,6 +634,29 @@ def selection_outlives_refresh(spark, sf):
     return _by_source(tl.read_table(spark, path))
 
 
+def _partials(spark, sf):
+    """Merged orders of a stored table after a second batch of invoices came in."""
+    path, invoices, partials = (scratch_path(spark, name) for name in ("tx", "invoices", "partials"))
+    tl.append_invoice_lines(_lines(spark, sf, "year(order_date) < 2000 or quantity < 10"), invoices)
+    tl.store_transactions(tl.load_transactions(spark, invoices_path=invoices), path, rate="amount")
+    tl.store_partials(spark, path, partials)
+    tl.append_invoice_lines(_lines(spark, sf, "year(order_date) >= 2000 and quantity >= 10"), invoices)
+    tl.refresh_transactions(spark, path, invoices)
+    return tl.store_partials(spark, path, partials)
+
+
+def kpis_from_partials(spark, sf):
+    return tl.kpis(_partials(spark, sf))
+
+
+def customer_totals_from_partials(spark, sf):
+    return tl.customer_totals(_partials(spark, sf))
+
+
+def country_totals_from_partials(spark, sf):
+    return tl.country_totals(_partials(spark, sf))
+
+
 def stored_annotations(spark, sf):
     path = scratch_path(spark, "notes")
     first, second = _notes(spark, sf)
@@ -755,6 +778,7 @@ QUERIES = {
         canonical_invoices, consolidated_sources, suppress_duplicates, ingest_report, invoice_intake, overlapping_intake,
         delete_by_ids, deleted_count, stored_delete, replace_dataset, upsert_annotations, latest_annotation,
         named_batches, upload_then_refresh, delete_in_consolidated, selection_outlives_refresh, stored_annotations,
+        kpis_from_partials, customer_totals_from_partials, country_totals_from_partials,
         newest_first, snapshot_changes, record_count, numbered_rows,
     ]
 }
