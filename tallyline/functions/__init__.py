@@ -33,6 +33,7 @@ from tallyline.functions.numbers import (
 )
 from tallyline.functions.text import (
     clean_customer_name,
+    document_field,
     json_preview,
     pretty_json,
     short_label,

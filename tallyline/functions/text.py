@@ -52,3 +52,12 @@ def pretty_json(texts: pd.Series) -> pd.Series:
             return text
 
     return texts.map(indent, na_action="ignore")
+
+
+def document_field(json: Column, path: str, kind: str = "string") -> Column:
+    """One field of a stored document, by a path such as ``$.Receptor.Nombre`` or ``$.Conceptos.Concepto[0].Importe``.
+
+    The text is read as a VARIANT, inside Spark; what is no JSON, has no such
+    field or does not fit ``kind`` gives NULL.
+    """
+    return F.try_variant_get(F.try_parse_json(json), path, kind)

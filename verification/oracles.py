@@ -392,6 +392,17 @@ ORACLES = {
             {iso('ship_date')} AS "Fecha de Envío", '-' AS "Modo de Envío", order_priority AS "Prioridad",
             'Sin datos XML' AS "Metadata XML" FROM tx"""
     ),
+    "audit_export_documents": with_tx(
+        f"""SELECT CASE order_id WHEN '0' THEN '-' ELSE order_id END AS "Order ID", {r4('sales')} AS "Ventas",
+            CASE WHEN quantity % 2 = 0 THEN 'PPD' ELSE '-' END AS "Método de Pago",
+            CASE WHEN quantity IN (7, 8, 9) THEN 'Sin datos XML' ELSE
+              '{{"Folio":"' || order_id || '","Receptor":{{"Nombre":"say \\"' || customer_name ||
+              '\\""}},"Conceptos":{{"Concepto":[{{"Cantidad":"' || quantity || '"}}]}}}}' END AS "Metadata XML" FROM tx"""
+    ),
+    "document_fields": with_tx(
+        """SELECT order_id, CASE WHEN quantity NOT IN (7, 8, 9) THEN 'say "' || customer_name || '"' END AS receiver,
+            CASE WHEN quantity NOT IN (7, 8, 9) THEN quantity END AS quantity, CAST(NULL AS VARCHAR) AS issuer FROM tx"""
+    ),
     "date_functions": with_tx(
         f"""SELECT order_id, date_diff('day', order_date, ship_date) AS lead_days,
             {MONTHS}[month(order_date)] AS month_label,

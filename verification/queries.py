@@ -277,6 +277,30 @@ def audit_export(spark, sf):
     return tl.audit_export(transactions(spark, sf))
 
 
+def _with_documents(spark, sf):
+    """Transactions with a payment method and a document; some documents are missing, in the three ways they can be."""
+    tx = transactions(spark, sf)
+    document = F.to_json(F.struct(
+        F.col("order_id").alias("Folio"), F.struct(F.concat(F.lit('say "'), "customer_name", F.lit('"')).alias("Nombre")).alias("Receptor"),
+        F.struct(F.array(F.struct(F.col("quantity").cast("string").alias("Cantidad"))).alias("Concepto")).alias("Conceptos"),
+    ))
+    missing = F.when(F.col("quantity") == 7, "0").when(F.col("quantity") == 8, "-").when(F.col("quantity") != 9, document)
+    return tx.withColumns({"invoice_json": missing, "payment_method": F.when(F.col("quantity") % 2 == 0, "PPD").when(F.col("quantity") % 3 == 0, "0")})
+
+
+def audit_export_documents(spark, sf):
+    """The export of rows with documents and payment methods."""
+    return tl.audit_export(_with_documents(spark, sf)).select("Order ID", "Ventas", "Método de Pago", "Metadata XML")
+
+
+def document_fields(spark, sf):
+    json = F.col("invoice_json")
+    return _with_documents(spark, sf).select(
+        "order_id", tl.document_field(json, "$.Receptor.Nombre").alias("receiver"),
+        tl.document_field(json, "$.Conceptos.Concepto[0].Cantidad", "int").alias("quantity"), tl.document_field(json, "$.Emisor.Nombre").alias("issuer"),
+    )
+
+
 # --- expressions ----------------------------------------------------------------------
 
 
@@ -772,7 +796,7 @@ QUERIES = {
         bottom_revenue_customers, vip_customers, critical_customers, segment_customers,
         country_totals, shipping_margin, market_leader, market_bubble, bottom_countries, critical_geography,
         search_any, filter_columns, sorted_page, deep_page, deep_page_by_name, page_after, page_after_ties, explore_far_page, page_info, page_info_literal,
-        explore_rows, explore_counts, audit_export,
+        explore_rows, explore_counts, audit_export, audit_export_documents, document_fields,
         date_functions, event_times, label_functions, number_functions, catalogue_lookups, sanitized_measures, narrow_measures,
         csv_round_trip, csv_mixed_headers, parse_invoices, parse_invoices_last_line, invoice_json, invoice_archives,
         canonical_invoices, consolidated_sources, suppress_duplicates, ingest_report, invoice_intake, overlapping_intake,
