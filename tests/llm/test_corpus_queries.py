@@ -146,6 +146,17 @@ def test_op10(spark):
     assert sum(r.predicted == q for r, q in held) >= 0.95 * len(held)
 
 
+def test_op10_against_a_plain_discriminant(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    texts = dict(duckdb.sql(f"select doc_id, text from '{sf_dir}/documents.parquet'").fetchall())
+    labels = duckdb.sql(f"select doc_id, quality from '{sf_dir}/labels.parquet'").fetchall()
+    statistics = {i: brute.quality_statistics(t) for i, t in texts.items()}
+    expected = brute.quality_scores(statistics, [(i, q) for i, q in labels if i in texts and brute.remainder(i, 4) != 2])
+    found, _ = rows(spark, sf_dir, "op10_quality_classifier")
+    assert max(abs(r.score - expected[i]) for i, r in found.items()) < 1e-6
+    assert 0.1 < sum(r.score > 0.5 for r in found.values()) / len(found) < 0.99
+
+
 def test_pipeline(spark, sf_dir, texts, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     about = {r.doc_id: r for r in docs.collect()}
