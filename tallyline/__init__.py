@@ -5,4 +5,4 @@ from tallyline.operators import *  # noqa: F401,F403
 from tallyline.plans import *  # noqa: F401,F403
 from tallyline.session import build_session, shared  # noqa: F401
 from tallyline.sources import *  # noqa: F401,F403
-from tallyline.streaming import start_invoice_intake  # noqa: F401
+from tallyline.streaming import *  # noqa: F401,F403

@@ -19,6 +19,8 @@ def build_session(app_name: str = "tallyline", master: str | None = None, **conf
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # State of streams lies on disk, not in the executors' heaps.
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         # Checkpoint files go when nothing refers to them any more.
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )

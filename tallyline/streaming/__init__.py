@@ -1,3 +1,3 @@
-from tallyline.streaming.intake import start_invoice_intake
+from tallyline.streaming.intake import first_seen, start_document_stream, start_invoice_intake, start_keyed_intake, stream_archives
 
-__all__ = ["start_invoice_intake"]
+__all__ = ["first_seen", "start_document_stream", "start_invoice_intake", "start_keyed_intake", "stream_archives"]

@@ -283,6 +283,54 @@ def test_stream_takes_each_archive_once(spark, tmp_path):
     assert tl.read_invoice_lines(spark, path).count() == 4
 
 
+def drain(spark, tmp_path, state="state", **options):
+    archives = tl.stream_archives(spark, str(tmp_path / "in"))
+    documents, path = str(tmp_path / "documents"), str(tmp_path / "lines")
+    tl.start_document_stream(archives, documents, str(tmp_path / "state" / "documents")).awaitTermination(120)
+    tl.start_keyed_intake(spark, documents, path, str(tmp_path / state / "intake"), **options).awaitTermination(120)
+    return tl.read_invoice_lines(spark, path)
+
+
+def test_stream_remembers_invoices_as_state(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    one = invoice("A", lines=LINE)
+    write_zip(tmp_path / "in" / "1.zip", [("a.xml", one), ("a2.xml", invoice("A", lines=LINE + OTHER)), ("b.xml", invoice("B", lines=LINE)), ("bad.xml", "<x")])
+    write_zip(tmp_path / "in" / "0.zip", [("u.xml", invoice(None, lines=LINE)), ("v.xml", invoice(None, lines=LINE)), ("b.xml", invoice("B", lines=LINE + OTHER))])
+    first = drain(spark, tmp_path)
+    # The first by archive and member stays: A of a.xml (one line), B of 0.zip (two); documents without a stamp both do.
+    assert sorted(r.order_id for r in first.collect()) == ["A", "B", "B"] + ["SIN-UUID"] * 2
+    assert drain(spark, tmp_path).count() == 5
+    # The same archive under another name, sorted before all others, and one new invoice.
+    write_zip(tmp_path / "in" / "+.zip", [("a.xml", one), ("c.xml", invoice("C", lines=LINE)), ("u.xml", invoice(None, lines=LINE))])
+    second = drain(spark, tmp_path)
+    assert sorted(r.order_id for r in second.collect()) == ["A", "B", "B", "C"] + ["SIN-UUID"] * 3
+    assert sorted(r.row_id for r in second.collect()) == list(range(1, 8))
+    # The state is what tells: no stored key is read for what this query stored itself. With its state lost the stored keys do.
+    third = drain(spark, tmp_path, state="lost", literal=True)
+    assert sorted(r.order_id for r in third.collect()) == sorted(r.order_id for r in second.collect())
+
+
+def test_stream_state_against_plain_reading(spark, tmp_path):
+    """In order of arrival, with an invoice that a third of the documents hold; then in batches of one file."""
+    (tmp_path / "in").mkdir()
+    random.seed(4)
+    expected = {}
+    for number in range(3):
+        members = []
+        for at in range(30):
+            key, lines = "hot" if at % 3 == 0 else f"K{random.randint(0, 30)}", random.choice([LINE, LINE + OTHER])
+            expected.setdefault(key, 1 if lines == LINE else 2)
+            members.append((f"{at:02}.xml", invoice(key, lines=lines)))
+        write_zip(tmp_path / "in" / f"{9 - number}.zip", members)
+        stored = drain(spark, tmp_path)
+    assert {r.order_id: r["count"] for r in stored.groupBy("order_id").count().collect()} == expected
+    other = str(tmp_path / "other")
+    tl.start_keyed_intake(spark, str(tmp_path / "documents"), other, str(tmp_path / "state" / "other"), files_per_batch=1).awaitTermination(120)
+    assert len(stored_batches(spark, other)) > 1
+    found = tl.read_invoice_lines(spark, other).groupBy("order_id").agg(F.count_distinct("raw_xml_data").alias("documents")).collect()
+    assert {r.order_id: r.documents for r in found} == dict.fromkeys(expected, 1)
+
+
 # --- maintenance --------------------------------------------------------------
 
 

@@ -14,9 +14,9 @@ SF_DIR = "/root/testdata/sf0.001"
 
 PYTHON_QUERIES = {
     "parse_invoices", "parse_invoices_last_line", "invoice_json", "invoice_archives", "canonical_invoices",
-    "consolidated_sources", "invoice_intake",
+    "consolidated_sources", "invoice_intake", "keyed_intake",
 }
-WRITERS = {"invoice_intake", "overlapping_intake", "selection_outlives_refresh", "kpis_from_partials", "customer_totals_from_partials", "country_totals_from_partials", "stored_delete", "replace_dataset", "csv_round_trip", "deep_page", "deep_page_by_name"}
+WRITERS = {"invoice_intake", "keyed_intake", "overlapping_intake", "selection_outlives_refresh", "kpis_from_partials", "customer_totals_from_partials", "country_totals_from_partials", "stored_delete", "replace_dataset", "csv_round_trip", "deep_page", "deep_page_by_name"}
 
 
 def plan(df, mode="formatted"):
@@ -79,6 +79,13 @@ def test_intake_reads_only_the_key_folders_it_asks_for(spark, tmp_path):
     assert "stored_batch" not in text
 
 
+def test_stream_state_is_merged_before_it_is_sent(spark, tmp_path):
+    schema = "archive string, member_no int, member string, order_id string, has_uuid boolean, problem string, file string"
+    text = plan(tl.first_seen(spark.readStream.schema(schema).parquet(str(tmp_path))), "simple")
+    before, after = text[text.index("StateStoreSave"):].rsplit("Exchange hashpartitioning", 1)
+    assert "StateStoreRestore" in before and "partial_min" in after and "Python" not in text
+
+
 def test_hot_customer_is_pre_aggregated(spark):
     """Rows are merged by customer and order before they are sent by customer."""
     text = plan(tl.customer_totals(transactions(spark, SF_DIR, "customer_name", "order_id", "sales", "profit")))

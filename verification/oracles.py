@@ -520,6 +520,8 @@ ORACLES = {
     "overlapping_intake": """SELECT 2 * count(*) AS lines, 2 * count(*) AS ids, count(*) AS invoices,
         2 * count(*) FILTER (l_linenumber > 4) AS records_inserted,
         count(*) FILTER (l_linenumber BETWEEN 3 AND 4) AS invoices_skipped, CAST(0 AS BIGINT) AS documents_held FROM lineitem""",
+    "keyed_intake": f"""SELECT 2 * count(*) AS first_lines, CAST(0 AS BIGINT) AS second_lines, 2 * count(*) AS ids,
+        count(*) AS invoices, {r4('2 * sum(l_extendedprice)')} AS sales FROM lineitem""",
     "newest_first": "SELECT event_id, CAST(ts AS VARCHAR) AS ts, event_type FROM events ORDER BY events.ts DESC, event_id",
     "snapshot_changes": """SELECT o_orderkey AS id, o_custkey AS email,
         CASE WHEN o_orderpriority = '5-LOW' THEN 'ELIMINACION_USUARIO' ELSE 'MODIFICACION_GOBERNANZA' END AS action,

@@ -586,6 +586,24 @@ def overlapping_intake(spark, sf):
     )
 
 
+def keyed_intake(spark, sf):
+    """Archives of all documents drained twice, the second time under other names: what each time adds."""
+    source, documents, path, state = (scratch_path(spark, name) for name in ("archives", "documents", "invoices", "state"))
+    docs = _invoice_documents(spark, sf).select(F.concat_ws("/", "archive", "member_no", "member").alias("member"), "xml")
+    archives = tl.shared(docs.mapInPandas(_zip_batches, "path string, content binary"))
+    counts = []
+    for turn in ("first", "second"):
+        archives.withColumn("path", F.concat_ws("/", F.lit(turn), "path")).write.mode("append").parquet(source)
+        arriving = spark.readStream.schema("path string, content binary").parquet(source)
+        tl.start_document_stream(arriving, documents, f"{state}/documents").awaitTermination()
+        tl.start_keyed_intake(spark, documents, path, f"{state}/intake").awaitTermination()
+        counts.append(tl.read_invoice_lines(spark, path).count())
+    return tl.read_invoice_lines(spark, path).agg(
+        F.lit(counts[0]).cast("long").alias("first_lines"), F.lit(counts[1] - counts[0]).cast("long").alias("second_lines"),
+        F.count_distinct("row_id").alias("ids"), F.count_distinct("order_id").alias("invoices"), F.sum("sales").alias("sales"),
+    )
+
+
 # --- stored tables ----
 
 
@@ -799,7 +817,7 @@ QUERIES = {
         explore_rows, explore_counts, audit_export, audit_export_documents, document_fields,
         date_functions, event_times, label_functions, number_functions, catalogue_lookups, sanitized_measures, narrow_measures,
         csv_round_trip, csv_mixed_headers, parse_invoices, parse_invoices_last_line, invoice_json, invoice_archives,
-        canonical_invoices, consolidated_sources, suppress_duplicates, ingest_report, invoice_intake, overlapping_intake,
+        canonical_invoices, consolidated_sources, suppress_duplicates, ingest_report, invoice_intake, overlapping_intake, keyed_intake,
         delete_by_ids, deleted_count, stored_delete, replace_dataset, upsert_annotations, latest_annotation,
         named_batches, upload_then_refresh, delete_in_consolidated, selection_outlives_refresh, stored_annotations,
         kpis_from_partials, customer_totals_from_partials, country_totals_from_partials,
