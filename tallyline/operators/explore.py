@@ -76,7 +76,7 @@ def page(df: DataFrame, number: int = 1, limit: int = DEFAULT_LIMIT) -> DataFram
     return df.offset((number - 1) * limit).limit(limit)
 
 
-def _literal(value, field: T.StructField) -> Column:
+def literal(value, field: T.StructField) -> Column:
     """A collected value as a literal; dates go as text, past any time zone."""
     return F.lit(str(value) if isinstance(value, datetime.date) else value).cast(field.dataType)
 
@@ -104,7 +104,7 @@ def page_after(
         if value is None:
             same = same & key.isNull()
             continue
-        value = _literal(value, df.schema[name])
+        value = literal(value, df.schema[name])
         descending = name == by and order != "asc"
         further = key < value if descending else key > value
         behind = behind | (same & (further | key.isNull()))
@@ -120,24 +120,46 @@ TEXT_SAMPLE = 4096
 TOP_K_ROWS = 100_000
 
 
-def _slice_of(df: DataFrame, start: int, by: str, order: str, limit: int) -> tuple:
-    """(rows of the value range that holds the page, rows before that range).
+def cut_values(df: DataFrame, by: str, slices: int = SLICES) -> list:
+    """Values that cut a column into slices of about as many rows each, in order.
 
-    Two narrow passes: quantiles of the sort column (of a sample of the
-    different values for texts), then exact counts between them. A bad
-    quantile makes slices uneven, never wrong.
+    Quantiles of the column; of texts those of a sample of the different values.
     """
-    field = df.schema[by]
-    if isinstance(field.dataType, T.StringType):
+    if isinstance(df.schema[by].dataType, T.StringType):
         place = F.xxhash64(by)
         some = df.filter(F.col(by).isNotNull()).select(by, place.alias("_place")).distinct().orderBy("_place").limit(TEXT_SAMPLE)
         values = sorted((row[by] for row in some.collect()), key=lambda value: value.encode())
-        cuts = values[len(values) // SLICES :: max(1, len(values) // SLICES)]
+        cuts = values[len(values) // slices :: max(1, len(values) // slices)]
     else:
-        ranks = [i / SLICES for i in range(1, SLICES)]
-        cuts = df.agg(F.percentile_approx(by, ranks)).first()[0]
-    distinct = {c for c in cuts or [] if c == c}
-    edges = [_literal(v, field) for v in sorted(distinct, key=lambda c: c.encode() if isinstance(c, str) else c)]
+        cuts = df.agg(F.percentile_approx(by, [i / slices for i in range(1, slices)])).first()[0]
+    return sorted({c for c in cuts or [] if c == c}, key=lambda c: c.encode() if isinstance(c, str) else c)
+
+
+def slices_of_page(counts: list, start: int, limit: int) -> tuple:
+    """(places of the slices that hold the page, rows before the first of them), from the rows of each slice in order."""
+    before, wanted, skipped = 0, [], 0
+    for place, count in enumerate(counts):
+        after = before + count
+        if after <= start:
+            skipped = after
+        elif before < start + limit:
+            wanted.append(place)
+        before = after
+    return wanted, skipped
+
+
+def is_sliceable(df: DataFrame, by: str | None) -> bool:
+    kinds = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType)
+    return by in df.columns and isinstance(df.schema[by].dataType, kinds)
+
+
+def _slice_of(df: DataFrame, start: int, by: str, order: str, limit: int) -> tuple:
+    """(rows of the value range that holds the page, rows before that range).
+
+    Two narrow passes: values to cut at, then exact counts between them. A bad
+    cut makes slices uneven, never wrong.
+    """
+    edges = [literal(v, df.schema[by]) for v in cut_values(df, by)]
     if not edges:
         return df, 0
     key = F.col(by)
@@ -145,16 +167,9 @@ def _slice_of(df: DataFrame, start: int, by: str, order: str, limit: int) -> tup
     counts = {r["slice"]: r["count"] for r in df.groupBy(number.alias("slice")).count().collect()}
     slices = range(len(edges) + 1)
     sequence = [*(slices if order == "asc" else reversed(slices)), None]
-    before, wanted, skipped = 0, [], 0
-    for one in sequence:
-        after = before + counts.get(one, 0)
-        if after <= start:
-            skipped = after
-        elif before < start + limit:
-            wanted.append(one)
-        before = after
+    wanted, skipped = slices_of_page([counts.get(one, 0) for one in sequence], start, limit)
     ranges = []
-    for one in wanted:
+    for one in [sequence[place] for place in wanted]:
         if one is None:
             ranges.append(key.isNull())
         else:
@@ -182,11 +197,12 @@ def deep_page(
     then tell where the page is. Without a sort column the order of all
     columns holds.
     """
-    start = (number - 1) * limit
-    sliceable = by in df.columns and isinstance(
-        df.schema[by].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType)
-    )
-    if sliceable and start + limit > top_k_rows:
+    return rows_from(df, (number - 1) * limit, limit, by, order, top_k_rows)
+
+
+def rows_from(df: DataFrame, start: int, limit: int, by: str | None, order: str, top_k_rows: int = TOP_K_ROWS) -> DataFrame:
+    """``limit`` rows behind the first ``start``, as ``deep_page`` finds them."""
+    if is_sliceable(df, by) and start + limit > top_k_rows:
         df, skipped = _slice_of(df, start, by, order, limit)
         start -= skipped
     keys = _sort_keys(df, by, order)

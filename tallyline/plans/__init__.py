@@ -10,6 +10,7 @@ from tallyline.plans.load import (
     upload_csv,
     with_stable_ids,
 )
+from tallyline.plans.pages import store_slices, stored_page
 from tallyline.plans.reports import (
     charts,
     countries_analysis,

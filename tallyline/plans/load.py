@@ -1,5 +1,6 @@
 """From the sources to the stored canonical table."""
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -189,38 +190,51 @@ def delete_selected(spark: SparkSession, path: str, ids, invoices_path: str) ->
     return count
 
 
-def store_partials(spark: SparkSession, path: str, partials_path: str) -> DataFrame:
-    """Keep ``order_partials`` of the stored table up to date beside it and read them.
+def keep_beside(spark: SparkSession, path: str, beside: str, summarise: Callable[[DataFrame, list], DataFrame], by: list[str]) -> DataFrame:
+    """Keep a summary of each source and year of the stored table up to date in the table ``beside`` and read it.
 
-    Each source and year is merged on its own and carries a mark of the files it
-    was made from. Only those whose files changed since are read and merged
-    again; the others are told by their names alone.
+    Each source and year carries a mark of the files it was made from. Only
+    those whose files changed since are read and summarised again; the others
+    are told by their names alone. ``summarise`` gets their rows and sources and
+    returns rows with ``source`` and ``order_year``; ``by`` names folders of ``beside``.
     """
     marks = [({c: v for c, v in folder.items() if c != "stored_batch"}, mark) for folder, mark in folder_marks(spark, path)]
-    known, first = {}, not _is_stored(spark, partials_path)
+    known, first = {}, not _is_stored(spark, beside)
     if not first:
-        made = read_table(spark, partials_path).groupBy("source", "order_year").agg(F.min("made_from").alias("made_from"))
+        made = read_table(spark, beside).groupBy("source", "order_year").agg(F.min("made_from").alias("made_from"))
         known = {(r["source"], r["order_year"]): r["made_from"] for r in made.collect()}  # a row per source and year
     changed = [(f, mark) for f, mark in marks if known.get((f["source"], f["order_year"])) != mark]
     gone = [{"source": s, "order_year": y} for s, y in known if (s, y) not in {(f["source"], f["order_year"]) for f, _ in marks}]
     if first or changed or gone:
         rows = read_table(spark, path)
-        parts = []
         own = rows.filter(within_folders([f for f, _ in changed])) if changed else rows.limit(0)
         noted = spark.createDataFrame([(f["source"], f["order_year"], mark) for f, mark in changed], "source string, order_year int, made_from string")
-        for source in sorted({f["source"] for f, _ in changed}) or [None]:
-            one = order_partials(own.filter(F.col("source").eqNullSafe(F.lit(source)))).withColumn("source", F.lit(source).cast("string"))
-            parts.append(one.withColumn("order_year", F.year("order_date")))
-        merged = reduce(DataFrame.unionByName, parts)
+        merged = summarise(own, sorted({f["source"] for f, _ in changed}) or [None])
         same = merged["source"].eqNullSafe(noted["source"]) & merged["order_year"].eqNullSafe(noted["order_year"])
         merged = merged.join(F.broadcast(noted), same).select(*[merged[c] for c in merged.columns], "made_from")
         if first:
-            replace_dataset(merged.drop("order_year"), partials_path, [], ["source"])
+            replace_dataset(merged if "order_year" in by else merged.drop("order_year"), beside, [], by)
         else:
-            (batch,) = stored_batches(spark, partials_path)
+            (batch,) = stored_batches(spark, beside)
             folders = [{"stored_batch": batch.folder, **f} for f in [f for f, _ in changed] + gone]
-            overwrite_folders(spark, partials_path, merged.withColumn("stored_batch", F.lit(batch.folder)), folders)
-    return read_table(spark, partials_path)
+            overwrite_folders(spark, beside, merged.withColumn("stored_batch", F.lit(batch.folder)), folders)
+    return read_table(spark, beside)
+
+
+def store_partials(spark: SparkSession, path: str, partials_path: str) -> DataFrame:
+    """Keep ``order_partials`` of the stored table up to date beside it and read them.
+
+    Only sources and years whose files changed since are read and merged again.
+    """
+
+    def merge(rows: DataFrame, sources: list) -> DataFrame:
+        parts = []
+        for source in sources:
+            one = order_partials(rows.filter(F.col("source").eqNullSafe(F.lit(source)))).withColumn("source", F.lit(source).cast("string"))
+            parts.append(one.withColumn("order_year", F.year("order_date")))
+        return reduce(DataFrame.unionByName, parts)
+
+    return keep_beside(spark, path, partials_path, merge, ["source"])
 
 
 def save_annotations(spark: SparkSession, changes: DataFrame, path: str) -> int:

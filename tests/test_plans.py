@@ -16,7 +16,7 @@ PYTHON_QUERIES = {
     "parse_invoices", "parse_invoices_last_line", "invoice_json", "invoice_archives", "canonical_invoices",
     "consolidated_sources", "invoice_intake", "keyed_intake",
 }
-WRITERS = {"invoice_intake", "keyed_intake", "overlapping_intake", "selection_outlives_refresh", "kpis_from_partials", "customer_totals_from_partials", "country_totals_from_partials", "stored_delete", "replace_dataset", "csv_round_trip", "deep_page", "deep_page_by_name"}
+WRITERS = {"invoice_intake", "keyed_intake", "overlapping_intake", "selection_outlives_refresh", "kpis_from_partials", "customer_totals_from_partials", "country_totals_from_partials", "stored_page_by_date", "stored_page_by_sales", "stored_page_by_name", "stored_delete", "replace_dataset", "csv_round_trip", "deep_page", "deep_page_by_name"}
 
 
 def plan(df, mode="formatted"):
@@ -68,6 +68,18 @@ def test_year_filter_reaches_the_stored_folders(spark, tmp_path):
     assert tl.kpis(stored).collect() == tl.kpis(tx).collect() == tl.kpis(stored, year=2001).collect()
 
 
+def test_a_far_page_scans_one_slice(spark, tmp_path):
+    path, slices = str(tmp_path / "tx"), str(tmp_path / "slices")
+    stored = tl.store_transactions(transactions(spark, SF_DIR, "order_id", "order_date", "sales", "profit").withColumn("source", F.lit("csv")), path)
+    years = {r.order_year for r in stored.select("order_year").distinct().collect()}
+    text = plan(tl.stored_page(spark, path, slices, 40, 50, "order_date"))
+    # Each scan is named in the tree and in its details.
+    assert text.count("Scan parquet") == 2 and "TakeOrderedAndProject" in text and "rangepartitioning" not in text
+    filters = text.split("PartitionFilters: ")[1].split("\n")[0]
+    assert sum(str(year) in filters for year in years) < len(years)
+    assert "GreaterThanOrEqual(order_date," in text and "LessThanOrEqual(order_date," in text
+
+
 def test_intake_reads_only_the_key_folders_it_asks_for(spark, tmp_path):
     path = str(tmp_path / "lines")
     lines = transactions(spark, SF_DIR, "order_id", "order_date", "sales")

@@ -175,6 +175,51 @@ def test_partials_follow_the_files_that_change(spark, tmp_path, three_years):
     assert {f.split("source=")[1].rsplit("/", 1)[0] for f in before ^ files_by_folder(tmp_path / "p")} == {"xml/order_year=2023", "xml/order_year=2024"}
 
 
+@pytest.mark.parametrize("by,order", [("order_date", "desc"), ("sales", "asc"), ("product_name", "desc")])
+def test_stored_pages_against_a_full_sort(spark, tmp_path, by, order):
+    """Ties, missing values, values that are no number, and one value that a third of the rows hold."""
+    rows = spark.range(600).selectExpr(
+        "cast(id % 5 * 4 + id % 3 as string) as order_id",
+        "if(id % 11 = 0, null, timestamp_ntz'2020-01-01' + make_dt_interval(cast(id * 7 % 1500 as int))) as order_date",
+        "case when id % 3 = 0 then 5D when id % 17 = 0 then null when id % 19 = 0 then double('nan') else id * 37 % 101 end as sales",
+        "if(id % 13 = 0, null, concat('ñandú ', id * 31 % 57)) as product_name", "0D as profit", "if(id % 2 = 0, 'csv', 'xml') as source",
+    )
+    path, slices = str(tmp_path / "t"), str(tmp_path / "s")
+    stored = tl.store_transactions(rows, path)
+    full = [str(r) for r in tl.sort_rows(stored, by, order).collect()]
+    for number, limit, top_k_rows in ((1, 7, 1000), (3, 100, 20), (6, 100, 1000), (7, 100, 20)):
+        page = tl.stored_page(spark, path, slices, number, limit, by, order, top_k_rows)
+        assert [str(r) for r in page.collect()] == full[(number - 1) * limit :][:limit]
+    counts = tl.read_table(spark, slices).agg(F.sum("rows"), F.max(F.when(F.expr("low <> high"), F.col("rows")))).first()
+    assert counts[0] == 600 and (counts[1] or 0) < 60
+
+
+def test_slices_follow_the_files_that_change(spark, tmp_path, three_years):
+    invoices, path, dated = three_years
+    slices = str(tmp_path / "s")
+    names = lambda number, **options: [r.order_id for r in tl.stored_page(spark, path, slices, number, 3, "order_date", **options).collect()]
+    full = lambda: [r.order_id for r in tl.sort_rows(tl.read_table(spark, path), "order_date").collect()]
+    assert names(1) + names(2, top_k_rows=2) + names(3) == full()
+    before = files_by_folder(tmp_path / "s")
+    assert names(1) == full()[:3] and files_by_folder(tmp_path / "s") == before
+    tl.append_invoice_lines(dated(2024, "c2024", "d2024"), invoices)
+    tl.delete_selected(spark, path, tl.read_table(spark, path).filter("order_id in ('a2023', 'b2023')"), invoices)
+    assert names(1) + names(2) + names(3) == full()
+    assert {f.split("source=")[1].rsplit("/", 1)[0] for f in before ^ files_by_folder(tmp_path / "s")} == {"xml/order_year=2023", "xml/order_year=2024"}
+    # New dates pile up behind the last value known until the column is cut anew.
+    for month in range(1, 13):
+        more = dated(2025, *[f"{month}-{i}" for i in range(4)]).withColumn("order_date", F.lit(f"2025-{month:02}-01").cast("timestamp_ntz"))
+        tl.append_invoice_lines(more, invoices)
+    tl.refresh_transactions(spark, path, invoices)
+    assert names(1) + names(2) == full()[:6]
+    assert tl.read_table(spark, slices).filter("upper >= '2025-01-01'").select("upper").distinct().count() > 5
+    # Nothing left.
+    tl.delete_selected(spark, path, tl.read_table(spark, path).filter("source = 'xml'"), invoices)
+    assert names(1) == full() and names(2) == []
+    with pytest.raises(ValueError):
+        tl.store_slices(spark, path, slices, "no_such")
+
+
 def test_keys_of_stored_invoices(spark, three_years):
     invoices, path, dated = three_years
     keys = lambda: sorted(r.order_id for r in tl.read_invoice_keys(spark, invoices).collect())

@@ -522,6 +522,9 @@ ORACLES = {
         count(*) FILTER (l_linenumber BETWEEN 3 AND 4) AS invoices_skipped, CAST(0 AS BIGINT) AS documents_held FROM lineitem""",
     "keyed_intake": f"""SELECT 2 * count(*) AS first_lines, CAST(0 AS BIGINT) AS second_lines, 2 * count(*) AS ids,
         count(*) AS invoices, {r4('2 * sum(l_extendedprice)')} AS sales FROM lineitem""",
+    "stored_page_by_date": with_tx("SELECT CAST(order_date AS VARCHAR) AS order_date FROM tx ORDER BY tx.order_date DESC LIMIT 100 OFFSET 4000"),
+    "stored_page_by_sales": with_tx("SELECT sales FROM tx ORDER BY sales LIMIT 100 OFFSET 4000"),
+    "stored_page_by_name": with_tx("SELECT product_name FROM tx ORDER BY product_name LIMIT 100 OFFSET 4000"),
     "newest_first": "SELECT event_id, CAST(ts AS VARCHAR) AS ts, event_type FROM events ORDER BY events.ts DESC, event_id",
     "snapshot_changes": """SELECT o_orderkey AS id, o_custkey AS email,
         CASE WHEN o_orderpriority = '5-LOW' THEN 'ELIMINACION_USUARIO' ELSE 'MODIFICACION_GOBERNANZA' END AS action,

@@ -699,6 +699,29 @@ def country_totals_from_partials(spark, sf):
     return tl.country_totals(_partials(spark, sf))
 
 
+def _far_pages(spark, sf, **wanted):
+    """A far page of a stored table whose histogram was made before its second batch of invoices."""
+    path, invoices, slices = (scratch_path(spark, name) for name in ("tx", "invoices", "slices"))
+    tl.append_invoice_lines(_lines(spark, sf, "year(order_date) < 2000 or quantity < 10"), invoices)
+    tl.store_transactions(tl.load_transactions(spark, invoices_path=invoices), path, rate="amount")
+    tl.store_slices(spark, path, slices, wanted["by"])
+    tl.append_invoice_lines(_lines(spark, sf, "year(order_date) >= 2000 and quantity >= 10"), invoices)
+    tl.refresh_transactions(spark, path, invoices)
+    return tl.stored_page(spark, path, slices, 41, 100, top_k_rows=1000, **wanted).select(wanted["by"])
+
+
+def stored_page_by_date(spark, sf):
+    return _far_pages(spark, sf, by="order_date", order="desc")
+
+
+def stored_page_by_sales(spark, sf):
+    return _far_pages(spark, sf, by="sales", order="asc")
+
+
+def stored_page_by_name(spark, sf):
+    return _far_pages(spark, sf, by="product_name", order="asc")
+
+
 def stored_annotations(spark, sf):
     path = scratch_path(spark, "notes")
     first, second = _notes(spark, sf)
@@ -821,6 +844,7 @@ QUERIES = {
         delete_by_ids, deleted_count, stored_delete, replace_dataset, upsert_annotations, latest_annotation,
         named_batches, upload_then_refresh, delete_in_consolidated, selection_outlives_refresh, stored_annotations,
         kpis_from_partials, customer_totals_from_partials, country_totals_from_partials,
+        stored_page_by_date, stored_page_by_sales, stored_page_by_name,
         newest_first, snapshot_changes, record_count, numbered_rows,
     ]
 }
