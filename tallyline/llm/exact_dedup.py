@@ -4,7 +4,9 @@ Rows are grouped by hash first, in narrow rows. Only texts whose hash occurs
 more than once are then grouped by (hash, text) itself: grouping compares the
 key's bytes, so two texts that share a hash end up in two groups. Both groupings
 combine copies before the shuffle, so a text that fills a third of all rows
-reaches the reducers as one row per task.
+reaches the reducers as one row per task. Groups of more than one row are then
+looked up by the rows: sent to them if they are few, else by a join of two
+stored frames, which Spark splits where one hash has very many rows.
 
 Nulls count as empty text and are copies of each other and of empty texts. Of
 equal texts the row with the smallest (or, by ``keep="largest"``, the largest)
@@ -41,14 +43,17 @@ def exact_groups(
 
     keys = shared(rows.select("doc_id", "hash", F.sha2("text", 256).alias("text_sha256")))
     counted = keys.groupBy("hash").agg(F.count("*").alias("group_size"), chosen("doc_id").alias("keep_id"))
-    repeated = shared(counted.filter("group_size > 1").select("hash"))
+    repeated = shared(counted.filter("group_size > 1"))
+    few = broadcast_if_small(repeated)
     compared = shared(
-        rows.join(broadcast_if_small(repeated), "hash", "left_semi")
+        rows.join(few, "hash", "left_semi")
         .groupBy("hash", "text")
         .agg(F.count("*").alias("group_size"), chosen("doc_id").alias("keep_id"))
     )
     collided = shared(compared.groupBy("hash").agg(F.count("*").alias("texts")).filter("texts > 1").select("hash"))
-    out = keys.join(counted, "hash")
+    # Most texts occur once and meet no group; rows of a text that fills many stay where they are, or are split by AQE.
+    alone = {"group_size": F.coalesce("group_size", F.lit(1).cast("long")), "keep_id": F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))}
+    out = keys.join(few, "hash", "left").withColumns(alone)
     if not collided.isEmpty():
         clash = broadcast_if_small(collided)
         apart = (
