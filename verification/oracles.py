@@ -4,6 +4,8 @@ Sums are compared at four decimals; reported two-decimal values round the
 binary value, which ``printf`` does.
 """
 
+from tallyline.plans.reports import FIELDS
+
 TX = """
 tx AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS order_id, o_orderdate AS order_date, l_shipdate AS ship_date,
@@ -539,3 +541,25 @@ ORACLES["csv_mixed_headers"] = ORACLES["csv_round_trip"]
 ORACLES["stored_annotations"] = ORACLES["latest_annotation"]
 for _name in ("kpis", "customer_totals", "country_totals"):
     ORACLES[f"{_name}_from_partials"] = ORACLES[_name]
+
+#: The query that gives each list of the dashboard.
+LISTS = {
+    "kpis": "kpis", "sales_over_time": "monthly_seasonality", "category_data": "category_performance",
+    "subcategories": "subcategory_ranking", "shipping": "top_shipping", "top_losses": "top_losses",
+    "bottom_20": "bottom_products", "top_discounts": "top_discounts", "discount_margin_impact": "discount_band_loss",
+    "total_loss": "discount_band_leak_loss", "discount_margin_netimpact": "discount_band_profit",
+    "total_net_loss": "discount_band_leak_profit", "topProfitable": "top_profit_customers",
+    "topRevenue": "top_revenue_customers", "bottomProfitable": "bottom_profit_customers",
+    "bottomRevenue": "bottom_revenue_customers", "segmentation": "customer_list", "outlier": "market_leader",
+    "bubble_data": "market_bubble", "shipping_relation": "shipping_margin", "bottom_countries": "bottom_countries",
+    "critical_geo": "critical_geography",
+}
+
+
+def listed(name, query):
+    whole = "* EXCLUDE (profit_margin), profit_margin AS margin_text" if name == "kpis" else "*"
+    fields = ", ".join(f'"{column}" AS "{field.lower()}"' for field, column in FIELDS.get(name, {}).items())
+    return f"SELECT '{name}' AS list, {fields or whole} FROM ({ORACLES[query]})"
+
+
+ORACLES["dashboard"] = " UNION ALL BY NAME ".join(listed(*pair) for pair in LISTS.items())

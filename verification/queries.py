@@ -7,6 +7,7 @@ has at most four), so that any engine's sums compare equal.
 
 import io
 import zipfile
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ import tallyline as tl
 from tallyline.fixtures import table, transactions
 from tallyline.functions.numbers import number_text
 from tallyline.schema import CSV_COLUMNS, INVOICE_LINES
-from tallyline.session import scratch_path
+from tallyline.session import scratch_path, staged
 from tallyline.sources.tables import number_rows
 
 
@@ -203,6 +204,17 @@ def critical_geography(spark, sf):
     return tl.critical_geography(transactions(spark, sf, "customer_name", "country", "profit"))
 
 
+# --- whole reports ------------------------------------------------------------------
+
+
+def dashboard(spark, sf):
+    """Every list of the dashboard under its name, one below the other; the key figures' margin is a text."""
+    lists = tl.dashboard(staged(transactions(spark, sf, wide_rate=True), "tx"))
+    lists["kpis"] = lists["kpis"].withColumnRenamed("profit_margin", "margin_text")
+    parts = [df.select(F.lit(name).alias("list"), *[F.col(f"`{c}`").alias(c.lower()) for c in df.columns]) for name, df in lists.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 # --- explorer -----------------------------------------------------------------------
 
 
@@ -836,6 +848,7 @@ QUERIES = {
         customer_totals, customer_list, top_profit_customers, top_revenue_customers, bottom_profit_customers,
         bottom_revenue_customers, vip_customers, critical_customers, segment_customers,
         country_totals, shipping_margin, market_leader, market_bubble, bottom_countries, critical_geography,
+        dashboard,
         search_any, filter_columns, sorted_page, deep_page, deep_page_by_name, page_after, page_after_ties, explore_far_page, page_info, page_info_literal,
         explore_rows, explore_counts, audit_export, audit_export_documents, document_fields,
         date_functions, event_times, label_functions, number_functions, catalogue_lookups, sanitized_measures, narrow_measures,
