@@ -1,15 +1,20 @@
 import datetime as dt
+import io
 import json
 import random
 import zipfile
+from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import tallyline as tl
 from tallyline.plans.load import upload_csv
 from tallyline.schema import INVOICE_LINES, UPLOAD_REQUIRED
+from tallyline.session import checkpoint_dir
 from tallyline.sources.tables import stored_batches
+from verification.queries import _zip_batches
 
 HEADER = " Row ID , Order ID,Order Date,Ship Date,Category,Product Name, Sales ,Profit,Discount,Discount rate,City\n"
 
@@ -331,6 +336,45 @@ def test_stream_state_against_plain_reading(spark, tmp_path):
     assert {r.order_id: r.documents for r in found} == dict.fromkeys(expected, 1)
 
 
+def checkpoints(spark):
+    checkpoint_dir(spark)
+    return {f.name for f in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).glob("rdd-*")}
+
+
+def test_intake_keeps_documents_packed(spark, documents, tmp_path):
+    """No checkpoint, which would hold each document and key as plain bytes."""
+    docs = documents(*[invoice(f"I{i % 9}", lines=LINE + OTHER) for i in range(12)])
+    before = checkpoints(spark)
+    report = tl.intake_invoices(docs, str(tmp_path / "lines"))["report"]
+    assert report["records_inserted"] == 18 and report["invoices_skipped"] == 3
+    assert sorted(r.row_id for r in tl.read_invoice_lines(spark, str(tmp_path / "lines")).collect()) == list(range(1, 19))
+    assert not checkpoints(spark) - before
+
+
+def test_state_of_invoices_lies_on_disk_in_any_session(spark, tmp_path):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    set_before = spark.conf.get(key)
+    spark.conf.unset(key)
+    try:
+        (tmp_path / "in").mkdir()
+        write_zip(tmp_path / "in" / "1.zip", [("a.xml", invoice("A", lines=LINE))])
+        archives = tl.stream_archives(spark, str(tmp_path / "in"))
+        tl.start_document_stream(archives, str(tmp_path / "documents"), str(tmp_path / "s1")).awaitTermination(120)
+        query = tl.start_keyed_intake(spark, str(tmp_path / "documents"), str(tmp_path / "lines"), str(tmp_path / "s2"))
+        assert spark.conf.get(key, None) is None
+        query.awaitTermination(120)
+        assert any(name.startswith("rocksdb") for name in query.lastProgress["stateOperators"][0]["customMetrics"])
+    finally:
+        spark.conf.set(key, set_before)
+
+
+def test_made_archives_are_small_cells():
+    batch = pd.DataFrame({"member": [f"m{i}" for i in range(1203)], "xml": [b"<a/>"] * 1203})
+    made = list(_zip_batches([batch]))
+    names = [[n for n in zipfile.ZipFile(io.BytesIO(m["content"][0])).namelist() if n.endswith(".xml")] for m in made]
+    assert [len(n) for n in names] == [500, 500, 203] and sum(names, []) == [f"m{i}.xml" for i in range(1203)]
+
+
 # --- maintenance --------------------------------------------------------------
 
 
