@@ -47,15 +47,27 @@ def load_transactions(
     return consolidate(csv, xml)
 
 
-def with_stable_ids(tx: DataFrame) -> DataFrame:
-    """Rows with an id that follows from source and content alone, each its own; staged.
+def with_stable_ids(tx: DataFrame, scanned: bool = False) -> DataFrame:
+    """Rows with an id that follows from source and content alone, each its own.
 
     Row n of a source is 2n, of the invoices 2n + 1. Rows without a source id,
     and all rows that would share an id, get one from their content (large and
     even): of equal rows the k-th gets the hash of content and k, so a file that
     is read again gives the same ids, however it is split. Ids are compared in
     full until none is left twice. ``source_id`` keeps the source's own id.
+    ``scanned`` tells that ``tx`` only reads stored files, so that it is not
+    staged before its ids are looked at.
     """
+    rows, content = _with_first_ids(tx)
+    if scanned and _repeated_ids(rows).isEmpty():
+        return rows
+    rows = staged(rows, "transactions")
+    settled = _settled_ids(rows, content)
+    return rows if settled is None else settled
+
+
+def _with_first_ids(tx: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(rows with the id each would have alone, the columns that are their content)."""
     own = F.col("row_id") if "row_id" in tx.columns else F.lit(None)
     known = own if "source_id" not in tx.columns else F.coalesce("source_id", own)
     tx = tx.withColumn("source_id", known.cast("long")).drop("row_id")
@@ -63,21 +75,48 @@ def with_stable_ids(tx: DataFrame) -> DataFrame:
     is_invoice = (F.col("source") == "xml") if "source" in tx.columns else F.lit(False)
     direct = F.col("source_id").between(0, (CONTENT_KEYS >> 1) - 1)
     first = F.when(direct, F.col("source_id") * 2 + F.when(is_invoice, 1).otherwise(0)).otherwise(_content_key(F.xxhash64(*content)))
-    rows, salt = staged(tx.withColumn("row_id", first), "transactions"), 0
-    while not (repeated := staged(rows.groupBy("row_id").count().filter("count > 1").select("row_id"), "repeated-ids")).isEmpty():
+    return tx.withColumn("row_id", first), content
+
+
+def _repeated_ids(rows: DataFrame) -> DataFrame:
+    return staged(rows.groupBy("row_id").count().filter("count > 1").select("row_id"), "repeated-ids")
+
+
+def _settled_ids(rows: DataFrame, content: list[str]) -> DataFrame | None:
+    """``rows`` (a reader of files) with an id of its own for each; None if they have that already."""
+    salt, settled, repeated = 0, None, _repeated_ids(rows)
+    while not repeated.isEmpty():
         salt += 1
-        repeated = broadcast_if_small(repeated)
-        placed = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-        again = placed.join(repeated, "row_id", "left_semi").withColumn("_digest", F.sha2(F.to_json(F.struct(*content)), 256))
-        # Copies are counted by file first, so that equal rows are numbered in many tasks.
-        by_file = again.groupBy("_digest", "_file").agg(F.count("*").alias("_n"))
-        before = F.sum("_n").over(Window.partitionBy("_digest").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
-        offsets = by_file.select("_digest", "_file", F.coalesce(before, F.lit(0)).alias("_before"))
-        copy = F.row_number().over(Window.partitionBy("_digest", "_file").orderBy("_at"))
-        again = again.withColumn("_copy", copy).join(offsets, ["_digest", "_file"])
-        again = again.withColumn("row_id", _content_key(F.xxhash64("_digest", F.col("_copy") + F.col("_before"), F.lit(salt))))
-        rows = staged(rows.join(repeated, "row_id", "left_anti").unionByName(again.select(*rows.columns)), "transactions")
-    return rows
+        rows = rows if settled is None else staged(settled, "transactions")
+        few = broadcast_if_small(repeated)
+        placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+        again = placed.join(few, "row_id", "left_semi").withColumn("_text", F.to_json(F.struct(*content)))
+        again = again.withColumn("_hash", F.xxhash64("_text"))
+        # Only rows that may have an equal one are dealt out to be numbered.
+        equal = staged(again.groupBy("_hash").count().filter("count > 1").select("_hash"), "equal-rows")
+        few_equal = broadcast_if_small(equal)
+        alone = again.join(few_equal, "_hash", "left_anti").withColumn("_digest", F.sha2("_text", 256)).withColumn("_copy", F.lit(1).cast("long"))
+        numbered = [alone]
+        if not equal.isEmpty():
+            numbered.append(_numbered_copies(again.join(few_equal, "_hash", "left_semi").withColumn("_digest", F.sha2("_text", 256)).drop("_text", "_hash")))
+        new = _content_key(F.xxhash64("_digest", "_copy", F.lit(salt)))
+        parts = [part.withColumn("row_id", new).select(*rows.columns) for part in numbered]
+        settled = reduce(DataFrame.unionByName, parts, rows.join(few, "row_id", "left_anti"))
+        if few is repeated or few_equal is equal or len(numbered) > 1:  # shuffled: once is enough
+            settled = staged(settled, "transactions")
+        repeated = _repeated_ids(settled)
+    return settled
+
+
+def _numbered_copies(rows: DataFrame) -> DataFrame:
+    """Equal rows (by ``_digest``) with their number, ``_copy``."""
+    # Copies are counted by file first, so that equal rows are numbered in many tasks.
+    by_file = rows.groupBy("_digest", "_file").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_digest").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = by_file.select("_digest", "_file", F.coalesce(before, F.lit(0)).alias("_before"))
+    copy = F.row_number().over(Window.partitionBy("_digest", "_file").orderBy("_at"))
+    numbered = rows.withColumn("_copy", copy).join(offsets, ["_digest", "_file"])
+    return numbered.withColumn("_copy", F.col("_copy") + F.col("_before"))
 
 
 def _content_key(hash_: Column) -> Column:
@@ -96,9 +135,10 @@ def store_transactions(tx: DataFrame, path: str, rate: str | None = None) -> Dat
     row has in its source is kept as ``source_id``. The analyses read the table
     many times; year filters then open only the folders of the years they need.
     """
-    rows = _rated(with_stable_ids(tx), rate)
+    rows, content = _with_first_ids(tx)
     by = ["source"] if "source" in rows.columns else []
-    replace_dataset(rows, path, ["order_date", "sales", "profit"], by)
+    # Ids are looked at in the files written aside, so rows that have their own are written once.
+    replace_dataset(_rated(rows, rate), path, ["order_date", "sales", "profit"], by, lambda written: _settled_ids(written, content))
     return read_table(tx.sparkSession, path)
 
 
@@ -168,7 +208,7 @@ def refresh_transactions(spark: SparkSession, path: str, invoices_path: str, rat
     years = [y for y in now.keys() | wanted.keys() if _rate(stored) != rate or now.get(y) != wanted.get(y)]
     if years:
         own = lines.filter(within_folders([{"order_year": y} for y in years])).drop("order_year")
-        _replace(spark, path, _rated(with_stable_ids(canonical_invoices(own, rate)), rate), "xml", years)
+        _replace(spark, path, _rated(with_stable_ids(canonical_invoices(own, rate), scanned=True), rate), "xml", years)
     return read_table(spark, path)
 
 

@@ -45,6 +45,18 @@ def test_no_window_no_cross_join_no_stray_python(spark, name):
         assert "EvalPython" not in text and "InPandas" not in text
 
 
+def test_lines_are_not_sent_by_what_hangs_on_their_orders(spark):
+    """Customers are joined to orders before order lines come in."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(transactions(spark, SF_DIR), "simple")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(o_custkey" in text
+    below = text.split("hashpartitioning(o_custkey")[1]
+    assert "l_orderkey" not in below and "l_partkey" not in below.split("hashpartitioning(c_custkey")[0]
+
+
 def test_documents_are_parsed_once(spark):
     text = plan(QUERIES["parse_invoices"](spark, SF_DIR), "simple")
     assert text.count("ArrowEvalPython [") == 1

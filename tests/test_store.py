@@ -3,11 +3,15 @@
 import io
 import sys
 import zipfile
+from contextlib import redirect_stdout
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import tallyline as tl
+from tallyline.plans import load
+from tallyline.plans.load import with_stable_ids
 from tallyline.session import broadcast_if_small
 from tallyline.sources import csv_files, tables
 
@@ -103,6 +107,59 @@ def test_ids_follow_from_source_and_content(spark):
     assert direct["xml", "a"] == 3 and direct["csv", "a"] == 2 and direct["csv", "b"] > 1 << 61
 
 
+def test_equal_rows_get_ids_by_their_number(spark, tmp_path):
+    """Rows without an id: alone, or several equal ones; the ids are those of content, number and round."""
+    rows = [("csv", "a", 1.0)] * 3 + [("csv", "b", 2.0), ("csv", None, 2.0)] + [("csv", "c", 3.0)] * 2
+    tx = spark.createDataFrame(rows, "source string, order_id string, sales double").repartition(3)
+    tx = tx.withColumn("row_id", F.lit(7).cast("long"))
+    found = with_stable_ids(tx).collect()
+    text = F.to_json(F.struct("order_id", "sales", "source", "source_id"))
+    expected = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "source string, order_id string, sales double, n int")
+    number = F.row_number().over(Window.partitionBy("source", "order_id", "sales").orderBy("n")).cast("long")
+    hashed = F.xxhash64(F.sha2(text, 256), number, F.lit(1)).bitwiseAND(F.lit((1 << 62) - 2)).bitwiseOR(F.lit(1 << 62))
+    expected = expected.withColumn("source_id", F.lit(7).cast("long")).select("order_id", hashed.alias("id"))
+    assert sorted((str(r.order_id), r.row_id) for r in found) == sorted((str(r.order_id), r.id) for r in expected.collect())
+
+
+def test_rows_with_their_own_ids_are_written_once(spark, tmp_path, three_years, monkeypatch):
+    """Storing and refreshing invoices keeps no copy of the rows and shuffles no row but its id."""
+    invoices, _, dated = three_years
+    kept, path = [], str(tmp_path / "own-tx")
+    real = load.staged
+    monkeypatch.setattr(load, "staged", lambda df, name: (kept.append(name), real(df, name))[1])
+    monkeypatch.setattr(tables, "staged", lambda df, name: (kept.append(name), real(df, name))[1])
+    tl.store_transactions(tl.load_transactions(spark, invoices_path=invoices), path, rate="amount")
+    tl.append_invoice_lines(dated(2024, "C"), invoices)
+    assert tl.refresh_transactions(spark, path, invoices).count() == 7
+    assert set(kept) == {"repeated-ids"}
+    plans = []
+    writer = tables._write
+
+    def seen(df, *args):
+        out = io.StringIO()
+        with redirect_stdout(out):
+            df.explain()
+        plans.append(out.getvalue())
+        writer(df, *args)
+
+    monkeypatch.setattr(tables, "_write", seen)
+    tl.append_invoice_lines(dated(2023, "D"), invoices)
+    tl.refresh_transactions(spark, path, invoices)
+    assert plans and not any("REBALANCE" in text for text in plans)
+
+
+def test_a_table_is_rewritten_while_it_is_read(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(40).select("id", (F.col("id") % 4).cast("int").alias("order_year"), F.lit(0.0).alias("x"))
+    tl.replace_dataset(rows, path, [], ["order_year"])
+    folders = [{"stored_batch": b.folder, "order_year": y} for b in tables.stored_batches(spark, path) for y in range(3)]
+    state = tables._state(spark, path)
+    left = tables._rows(spark, path, state).filter("order_year < 2 and id % 3 = 0").withColumn("x", F.lit(1.0))
+    tables.overwrite_folders(spark, path, left, folders)
+    found = {r.id: r.x for r in tl.read_table(spark, path).collect()}
+    assert found == {i: 1.0 for i in range(40) if i % 4 < 2 and i % 3 == 0} | {i: 0.0 for i in range(40) if i % 4 == 3}
+
+
 def files_by_folder(path):
     return {str(f.relative_to(path)) for f in path.rglob("*.parquet") if "stored_batch=" in str(f)}
 
