@@ -435,7 +435,7 @@ def _csv_texts(spark, sf):
 
 def csv_round_trip(spark, sf):
     path = scratch_path(spark, "csv")
-    _csv_texts(spark, sf).write.option("header", True).option("escape", '"').csv(path)
+    _csv_texts(spark, sf).write.option("header", True).option("escape", '"').option("compression", "gzip").csv(path)
     return tl.canonical_csv(tl.read_transactions_csv(spark, path))
 
 
@@ -444,8 +444,8 @@ def csv_mixed_headers(spark, sf):
     cells = _csv_texts(spark, sf)
     odd = F.col(" Quantity ") % 2 == 1
     paths = [scratch_path(spark, "csv"), scratch_path(spark, "csv")]
-    cells.filter(odd).write.option("header", True).option("escape", '"').csv(paths[0])
-    cells.filter(~odd).select(*reversed(cells.columns)).write.option("header", True).option("escape", '"').csv(paths[1])
+    cells.filter(odd).write.option("header", True).option("escape", '"').option("compression", "gzip").csv(paths[0])
+    cells.filter(~odd).select(*reversed(cells.columns)).write.option("header", True).option("escape", '"').option("compression", "gzip").csv(paths[1])
     return tl.canonical_csv(tl.read_transactions_csv(spark, paths))
 
 
@@ -641,7 +641,7 @@ def _csv_file(spark, sf, condition):
     tx = tx.filter(condition).withColumn("row_id", F.monotonically_increasing_id() % 1000 + 1)
     tx = tx.withColumns({c: F.date_format(c, "M/d/yyyy") for c in ("order_date", "ship_date")})
     path = scratch_path(spark, "csv")
-    tx.withColumnsRenamed({c: names[c] for c in tx.columns}).write.option("header", True).csv(path)
+    tx.withColumnsRenamed({c: names[c] for c in tx.columns}).write.option("header", True).option("compression", "gzip").csv(path)
     return path
 
 
