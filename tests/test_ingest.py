@@ -13,6 +13,7 @@ import tallyline as tl
 from tallyline.plans.load import upload_csv
 from tallyline.schema import INVOICE_LINES, UPLOAD_REQUIRED
 from tallyline.session import checkpoint_dir
+from tallyline.sources import invoices
 from tallyline.sources.tables import stored_batches
 from verification.queries import _zip_batches
 
@@ -152,6 +153,32 @@ def test_any_depth_any_prefix_any_encoding(documents):
     ]
 
 
+def test_elements_are_read_without_a_tree(monkeypatch):
+    """What is found without a tree is what a tree holds, and nothing is taken for XML that the tree's parser refuses."""
+    inner = '<p:Receptor Nombre="\u00f1 &amp; &lt;"/><Concepto Importe=" 1 " p:Importe="2"/><c><d><Concepto/></d></c>text<!-- <Concepto/> -->'
+    whole = f'<p:Comprobante xmlns:p="urn:p" Fecha="x">{inner}</p:Comprobante>'
+    entity = '<!DOCTYPE a [<!ENTITY e "five">]><a Fecha="&e;"><Concepto Descripcion="&e;"/></a>'
+    outside = '<!DOCTYPE a SYSTEM "a.dtd"><a><Concepto/>&unknown;</a>'
+    texts = [
+        whole.encode(), f'<?xml version="1.0" encoding="ISO-8859-1"?>{whole}'.encode("latin-1"), whole.encode("utf-16"), b"\xef\xbb\xbf" + whole.encode(),
+        f'<?xml version="1.0" encoding="nope"?>{whole}'.encode(), f'<?xml version="1.0" encoding="cp1252"?>{whole}'.encode("cp1252"),
+        whole.encode() + b"<a/>", whole.encode()[:-1], whole.encode("latin-1"), b"", b" ", b"plain", b'<a b="1" b="2"/>', b"<x:a/>", b"<a>&unknown;</a>",
+        entity.encode(), outside.encode(), b"<a>\0</a>", whole, None, b"<Concepto Importe='3'/>", b"<a>" * 500 + b"</a>" * 500,
+    ]
+    for text in texts:
+        root = invoices._root(text)
+        wanted = None if root is None else [
+            (name if name in invoices._NODES else "", node.attrib.get("Importe"), node.attrib.get("Fecha"), node.attrib.get("Nombre"), node.attrib.get("Descripcion"))
+            for node in root.iter() if (name := node.tag.rpartition("}")[2]) in invoices._NODES or node is root
+        ]
+        found = invoices._starts(text, {})
+        found = found and [(n, a.get("Importe"), a.get("Fecha"), a.get("Nombre"), a.get("Descripcion")) for n, a in found]
+        assert found == wanted, text
+    # No tree is built of a usual document.
+    monkeypatch.setattr(invoices, "_root", None)
+    assert [name for name, _ in invoices._starts(whole.encode(), {})] == ["", "Receptor", "Concepto", "Concepto"]
+
+
 def test_held_back_documents(documents):
     texts = [
         invoice("ok", lines=LINE), "<broken", b"", invoice("empty"), invoice("bad", lines=LINE + '<r:Concepto Importe="x"/>'),
