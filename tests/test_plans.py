@@ -62,6 +62,18 @@ def test_documents_are_parsed_once(spark):
     assert text.count("ArrowEvalPython [") == 1
 
 
+def test_documents_become_json_only_if_it_is_read(spark):
+    text = plan(QUERIES["canonical_invoices"](spark, SF_DIR), "simple")
+    assert text.count("ArrowEvalPython [") == 1 and "_document_json" not in text
+    lines = tl.parse_invoices(spark.createDataFrame([], "member string, xml binary"))
+    text = plan(lines.select("raw_xml_data", "sales"), "simple")
+    assert text.count("ArrowEvalPython [") == 1 and "_document_json" in text
+
+
+def test_archives_are_packed_in_more_tasks_than_the_scan_has(spark):
+    assert "hashpartitioning(member" in plan(QUERIES["invoice_archives"](spark, SF_DIR), "simple")
+
+
 def test_scans_read_only_needed_columns(spark):
     text = plan(tl.discount_band_profit(transactions(spark, SF_DIR, "discount_rate", "profit")))
     assert "ReadSchema: struct<l_extendedprice:double,l_discount:double>" in text
