@@ -170,25 +170,30 @@ def stored_last_year(spark: SparkSession, path: str) -> int | None:
 # Writing -------------------------------------------------------------------------
 
 
-def number_rows(df: DataFrame, start: int, name: str = "row_id", fixed: bool = False) -> tuple:
+def number_rows(df: DataFrame, start: int, name: str = "row_id", fixed: bool = False, by_file: bool = False) -> tuple:
     """(rows with consecutive ids from ``start``, how many), no row in one task.
 
     Rows are counted per partition first, then each partition numbers its own.
     Both passes must see the same partitions, so ``df`` is kept in the shared
     folder first unless it is ``fixed``: a ``shared`` frame, or made from one
     without a shuffle (a ``staged`` frame too, as long as all comes from one reader).
+    ``by_file`` numbers the rows of a reader of Parquet files by their place in
+    each file instead, which no cut of the files into partitions changes.
     """
-    df = df if fixed else shared(df)
+    df = df if fixed or by_file else shared(df)
     spark = df.sparkSession
-    placed = df.withColumn("_at", F.monotonically_increasing_id())
-    partition = F.shiftrightunsigned("_at", 33)
+    if by_file:
+        placed = df.select("*", F.col("_metadata.row_index").alias("_at"), F.col("_metadata.file_name").alias("_part"))
+        partition, within = F.col("_part"), F.col("_at")
+    else:
+        placed = df.withColumn("_at", F.monotonically_increasing_id())
+        partition, within = F.shiftrightunsigned("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = placed.groupBy(partition.alias("_part")).count().orderBy("_part").collect()
     offsets, following = [], start
-    for row in counts:  # as many rows as df has partitions
+    for row in counts:  # as many rows as df has partitions or files
         offsets.append((row["_part"], following))
         following += row["count"]
-    offsets = spark.createDataFrame(offsets, "_part long, _start long")
-    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    offsets = spark.createDataFrame(offsets, f"_part {'string' if by_file else 'long'}, _start long")
     numbered = (
         placed.withColumn("_part", partition)
         .join(F.broadcast(offsets), "_part")
@@ -263,16 +268,25 @@ def append_invoice_lines(df: DataFrame, path: str, part: str | None = None, stab
     state = _state(spark, path)
     if part is not None and any(b.name == _quoted(part) for b in state.batches):
         return 0
-    numbered, count = number_rows(df, 1 + state.last_row_id(), fixed=stable)
-    if count == 0:
-        return 0
     version, number = state.version or 1, max((b.number for b in state.batches), default=0) + 1
-    if keys is not None:
-        own = keys.select("order_id").distinct().withColumn("batch_number", F.lit(number))
-        own = with_bucket(own).hint("rebalance", "bucket").sortWithinPartitions("bucket", "order_id")
-        own.write.mode("append").partitionBy("bucket").parquet(_keys(path, version))
-    rows, by = _with_year(numbered)
-    return _add_batch(rows, path, version, number, by, state.last_row_id(), keys is not None, part, count)
+    aside = f"{_root(path, version)}/_writing-{uuid.uuid4().hex}"
+    if not stable:
+        # Rows that would be computed anew lie packed beside the table until the batch is there.
+        _write(df, aside, [])
+        df = spark.read.schema(df.schema).parquet(aside)
+    try:
+        numbered, count = number_rows(df, 1 + state.last_row_id(), fixed=stable, by_file=not stable)
+        if count == 0:
+            return 0
+        if keys is not None:
+            own = keys.select("order_id").distinct().withColumn("batch_number", F.lit(number))
+            own = with_bucket(own).hint("rebalance", "bucket").sortWithinPartitions("bucket", "order_id")
+            own.write.mode("append").partitionBy("bucket").parquet(_keys(path, version))
+        rows, by = _with_year(numbered)
+        return _add_batch(rows, path, version, number, by, state.last_row_id(), keys is not None, part, count)
+    finally:
+        if not stable:
+            _remove(spark, aside)
 
 
 def replace_dataset(

@@ -96,6 +96,16 @@ def test_rows_are_numbered_whatever_the_splits(spark, tmp_path):
             spark.conf.unset(key)
 
 
+def test_rows_to_be_numbered_are_kept_packed(spark, tmp_path, monkeypatch):
+    """Appended rows are numbered in Parquet files, without gaps over several tasks, and never kept as a checkpoint."""
+    rows = spark.range(5_000).repartition(7).select(F.col("id").cast("string").alias("order_id"), F.lit("2024-05-01").cast("timestamp_ntz").alias("order_date"))
+    with monkeypatch.context() as m:
+        m.setattr(type(rows), "checkpoint", None)
+        assert [tl.append_invoice_lines(part, str(tmp_path / "t")) for part in (rows, rows.limit(0), rows.filter("id < 10"))] == [5_000, 0, 10]
+    found = tl.read_table(spark, str(tmp_path / "t"))
+    assert found.agg(F.count("*"), F.count_distinct("row_id"), F.min("row_id"), F.max("row_id")).first() == (5_010, 5_010, 1, 5_010)
+
+
 def test_ids_follow_from_source_and_content(spark):
     rows = [(1, "xml", "a"), (1, "csv", "a"), (2, "csv", "b"), (2, "csv", "c"), (None, "csv", "d"), (None, "csv", "d"), (None, "csv", "e"), (-4, "csv", "f")]
     rows += [(9, "csv", "copy")] * 40

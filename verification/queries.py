@@ -701,10 +701,12 @@ def selection_outlives_refresh(spark, sf):
 def _partials(spark, sf):
     """Merged orders of a stored table after a second batch of invoices came in."""
     path, invoices, partials = (scratch_path(spark, name) for name in ("tx", "invoices", "partials"))
-    tl.append_invoice_lines(_lines(spark, sf, "year(order_date) < 2000 or quantity < 10"), invoices)
+    # Both batches are cut from lines that are joined and staged once.
+    lines = staged(_lines(spark, sf, F.lit(True)), "lines")
+    tl.append_invoice_lines(lines.filter("year(order_date) < 2000 or quantity < 10"), invoices, stable=True)
     tl.store_transactions(tl.load_transactions(spark, invoices_path=invoices), path, rate="amount")
     tl.store_partials(spark, path, partials)
-    tl.append_invoice_lines(_lines(spark, sf, "year(order_date) >= 2000 and quantity >= 10"), invoices)
+    tl.append_invoice_lines(lines.filter("year(order_date) >= 2000 and quantity >= 10"), invoices, stable=True)
     tl.refresh_transactions(spark, path, invoices)
     return tl.store_partials(spark, path, partials)
 
@@ -724,10 +726,12 @@ def country_totals_from_partials(spark, sf):
 def _far_pages(spark, sf, **wanted):
     """A far page of a stored table whose histogram was made before its second batch of invoices."""
     path, invoices, slices = (scratch_path(spark, name) for name in ("tx", "invoices", "slices"))
-    tl.append_invoice_lines(_lines(spark, sf, "year(order_date) < 2000 or quantity < 10"), invoices)
+    # Both batches are cut from lines that are joined and staged once.
+    lines = staged(_lines(spark, sf, F.lit(True)), "lines")
+    tl.append_invoice_lines(lines.filter("year(order_date) < 2000 or quantity < 10"), invoices, stable=True)
     tl.store_transactions(tl.load_transactions(spark, invoices_path=invoices), path, rate="amount")
     tl.store_slices(spark, path, slices, wanted["by"])
-    tl.append_invoice_lines(_lines(spark, sf, "year(order_date) >= 2000 and quantity >= 10"), invoices)
+    tl.append_invoice_lines(lines.filter("year(order_date) >= 2000 and quantity >= 10"), invoices, stable=True)
     tl.refresh_transactions(spark, path, invoices)
     return tl.stored_page(spark, path, slices, 41, 100, top_k_rows=1000, **wanted).select(wanted["by"])
 
