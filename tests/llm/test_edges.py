@@ -192,3 +192,11 @@ def test_scoring(odd, none, plain):
     assert {r.n_tokens for r in found if r.doc_id == 1} == {1}
     unlearned = lm_scoring.score_texts(odd, F.lit(None).cast("boolean")).collect()
     assert {r.base_score for r in unlearned} == {0.0} and all(math.isfinite(r.score) for r in unlearned)
+
+
+def test_scoring_sends_its_tables_in_single_precision(odd):
+    """Every worker keeps what is sent: one float for each slot's count and one for what it says, not cells and sums to make them from."""
+    rows = odd.select("text", F.lit(True).alias("train"))
+    centres = lm_scoring.fit_kinds(rows)
+    corpus, _ = lm_scoring.learn(rows, lm_scoring.stored(lm_scoring._units(rows, centres), "units"), centres)
+    assert [(t.dtype.str, t.size) for t in corpus.model.tables] == [("<f4", lm_scoring.cm.TABLES << lm_scoring.cm.TABLE_BITS)] * 2
