@@ -107,10 +107,17 @@ def block_count(classes: int, distance: int = DISTANCE) -> int:
 
 
 def block_keys(sim: Column, m: int, distance: int = DISTANCE) -> Column:
-    """One key for each choice of m - distance blocks."""
+    """One key for each choice of m - distance blocks: the number of the choice and the blocks' bits."""
     cuts = [BITS * k // m for k in range(m + 1)]
-    masks = [sum(((1 << cuts[k + 1]) - 1) ^ ((1 << cuts[k]) - 1) for k in chosen) for chosen in combinations(range(m), m - distance)]
-    return F.array(*[F.xxhash64(F.lit(i), sim.bitwiseAND(F.lit(mask))) for i, mask in enumerate(masks)])
+
+    def key(i: int, chosen: tuple[int, ...]) -> Column:
+        out = F.lit(i).cast("long")
+        for k in chosen:
+            width = cuts[k + 1] - cuts[k]
+            out = F.shiftleft(out, width).bitwiseOR(F.shiftright(sim, cuts[k]).bitwiseAND(F.lit((1 << width) - 1)))
+        return out
+
+    return F.array(*[key(i, chosen) for i, chosen in enumerate(combinations(range(m), m - distance))])
 
 
 def _coded(text: Column) -> Column:
@@ -168,7 +175,7 @@ def line_groups(
 
     groups = link_buckets(
         keyed, verify, lambda a, b: F.bit_count(a("sim").bitwiseXOR(b("sim"))) <= distance,
-        alone=(F.bit_xor("sim"), lambda xor: F.bit_count(xor) <= distance),
+        differ=("sim", lambda xor: F.bit_count(xor) <= distance),
     )
     placed = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     kept = placed.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("total")).filter("total > 1")
