@@ -177,7 +177,9 @@ def line_groups(
         keyed, verify, lambda a, b: F.bit_count(a("sim").bitwiseXOR(b("sim"))) <= distance,
         differ=("sim", lambda xor: F.bit_count(xor) <= distance),
     )
-    placed = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # A class of one line without links has nothing to give up and is not dealt out.
+    placed = classes.join(broadcast_if_small(stored(groups, "groups")), "node", "left").filter("component is not null or n > 1")
+    placed = stored(placed.withColumn("component", F.coalesce("component", "node")), "placed")
     kept = placed.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("total")).filter("total > 1")
     repeated = stored(placed.join(kept, "component").select("h1", "h2", "stays"), "repeated")
     here = F.struct("doc_id", "text_hash", "pos")
